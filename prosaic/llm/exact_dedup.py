@@ -138,13 +138,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = scratch.save(deduplicate(docs, id_col, text_col), "found")
     # the few groups of copies: which id stays, and whether repeated rows share it
     stays = found.filter("group_size > 1").groupBy("text_sha256", "keep_id").agg(F.count_if(F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("ties"))
-    stays = scratch.save(stays.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("ties").alias("_ties")), "stays")
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    in_group = marked.join(_small(stays), "_sha", "left")
-    one = in_group.filter(F.col("_ties").isNull() | ((F.col("_ties") <= 1) & F.col(id_col).eqNullSafe(F.col("_keep"))))
-    if stays.filter("_ties > 1").isEmpty():
+    stays = scratch.save(stays.select(F.col("text_sha256").alias("__dedup_sha"), F.col("keep_id").alias("__dedup_keep"), F.col("ties").alias("__dedup_ties")), "stays")
+    marked = docs.withColumn("__dedup_sha", F.sha2(normalised(F.col(text_col)), 256))
+    in_group = marked.join(_small(stays), "__dedup_sha", "left")
+    one = in_group.filter(F.col("__dedup_ties").isNull() | ((F.col("__dedup_ties") <= 1) & F.col(id_col).eqNullSafe(F.col("__dedup_keep"))))
+    if stays.filter("__dedup__dedup_ties > 1").isEmpty():
         return one.select(docs.columns)
-    tied = in_group.filter((F.col("_ties") > 1) & F.col(id_col).eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
+    tied = in_group.filter((F.col("__dedup_ties") > 1) & F.col(id_col).eqNullSafe(F.col("__dedup_keep"))).dropDuplicates(["__dedup_sha"])
     return one.select(docs.columns).unionByName(tied.select(docs.columns))
 
 
