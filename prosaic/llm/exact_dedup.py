@@ -142,7 +142,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = docs.withColumn("__dedup_sha", F.sha2(normalised(F.col(text_col)), 256))
     in_group = marked.join(_small(stays), "__dedup_sha", "left")
     one = in_group.filter(F.col("__dedup_ties").isNull() | ((F.col("__dedup_ties") <= 1) & F.col(id_col).eqNullSafe(F.col("__dedup_keep"))))
-    if stays.filter("__dedup__dedup_ties > 1").isEmpty():
+    if stays.filter("__dedup_ties > 1").isEmpty():
         return one.select(docs.columns)
     tied = in_group.filter((F.col("__dedup_ties") > 1) & F.col(id_col).eqNullSafe(F.col("__dedup_keep"))).dropDuplicates(["__dedup_sha"])
     return one.select(docs.columns).unionByName(tied.select(docs.columns))
