@@ -20,12 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder for one call of an operator."""
+    """A folder for one call of an operator; release() deletes it if it is held."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, held: bool = True):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        _held.append(self.path)
+        if held:
+            _held.append(self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it again: what follows doesn't recompute it, even when executors are lost."""
