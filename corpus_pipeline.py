@@ -1,10 +1,65 @@
-"""Corpus pipeline; its stages follow."""
+"""Corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
+language ID, exact deduplication, n-gram Jaccard join (one document of a group
+stays), benchmark decontamination, best-fit packing. All stages but the last
+return the columns of ``documents``; the last returns one row per token piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from prosaic.llm import best_fit_packing, decontaminate, exact_dedup, jaccard_join, language_id
+from prosaic.llm.scratch import Scratch, release
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that are in a language; the trigram models are fitted on a bounded sample of the labelled ones."""
+    release(spark)  # earlier stages have been written
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of equal texts."""
+    release(spark)
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    release(spark)
+    return jaccard_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more is benchmark text."""
+    release(spark)
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1,024 tokens."""
+    release(spark)
+    return best_fit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Language models, sketches and token ids can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # the stages' own results lie apart from the scratch tables that each stage clears
+    kept = Scratch(spark, "pipeline", held=False)
+    for name, stage in STAGES:
+        docs = kept.save(stage(spark, docs, sf_dir), name)
+    return docs
