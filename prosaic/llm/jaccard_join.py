@@ -6,8 +6,9 @@ sets of the wanted similarity are expected to share more than one selected token
 at each level. Buckets of at most ``small`` sets are brute-forced on sketches;
 larger ones are split again, each by its own sampled tokens. Runs repeat until
 the chance of missing a pair of the threshold's similarity is below
-1 - ``recall``. What is still large after ``depth`` levels shares that many
-sampled tokens and becomes one candidate class.
+1 - ``recall``. In a large bucket, sets close to its first set are linked with it
+and leave; what is still large after ``DEPTH`` levels shares that many sampled
+tokens and becomes one candidate class.
 
 Candidate links go into connected components (a superset of the true classes),
 whose texts are then compared exactly: an inverted index over the whole shingle
@@ -37,8 +38,12 @@ RECALL = 0.9999
 TOKENS = 128
 #: Selected tokens that two sets of the threshold's similarity are expected to share at each level.
 BRANCHING = 1.25
-SMALL = 32
-DEPTH = 5
+SMALL = 250
+DEPTH = 3
+#: Members of a large bucket whose sketch agrees with its first set's by LINKED are linked with that set, and not split
+#: further from DONE on. Jaccard distance is a metric: a set within 1 - threshold of one that is DONE is within LINKED of
+#: the first, with 0.12 (two standard deviations of a difference of sketches) to spare.
+LINKED, DONE = 0.28, 0.6
 #: Agreement of sketches, in standard deviations below the threshold, from which a pair is compared exactly.
 MARGIN = 4.5
 #: Sets of a class in one block of the exact comparison.
@@ -126,11 +131,26 @@ def _first_paths(runs: int, chance: float):
 
 
 def _next_paths(chance: float):
+    """path, gid, sketch, first (the bucket's smallest gid) and its sketch -> links (first, gid) and the new paths of what is to be split."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            path, gid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            row, new = _choose(path.view(U64), _tokens(batch.column(2)), chance)
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(gid[row])], names=["path", "gid"])
+            path, gid, first = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            tokens = _tokens(batch.column(2))
+            same = (tokens == _tokens(batch.column(4))).mean(1)
+            near = np.flatnonzero((same >= LINKED) & (gid != first))
+            pairs = list(zip(first[near].tolist(), gid[near].tolist()))
+            link = near[np.array([x not in seen for x in pairs], bool)]
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(pairs)
+            go = np.flatnonzero(same < DONE)
+            row, new = _choose(path[go].view(U64), tokens[go], chance)
+            none = lambda n: pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(x) for x in ([none(len(link)), pa.array(new.view(np.int64))], [pa.array(gid[link]), pa.array(gid[go][row])], [pa.array(first[link]), none(len(row))])], names=["path", "gid", "first"]
+            )
 
     return run
 
@@ -213,17 +233,23 @@ def candidates(groups: DataFrame, scratch: Scratch, threshold: float, recall: fl
     for level in range(1, DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count("*").alias("n"), F.min("gid").alias("least")).filter("n > 1")
         shared = scratch.save(paths.join(sizes, "path"), f"shared-{level}")
-        scratch.drop(f"paths-{level}")
+        if level == 1:
+            scratch.drop("paths-1")
         few = shared.filter(F.col("n") <= SMALL).select("path", "gid").join(groups.select("gid", "short"), "gid").select("path", "gid", "short")
         found = few.repartition(partitions(spark), "path").sortWithinPartitions("path").mapInArrow(brute, "a bigint, b bigint")
-        many = shared.filter(F.col("n") > SMALL)
-        if level == DEPTH:
-            found = found.union(many.filter("gid <> least").select(F.col("least").alias("a"), F.col("gid").alias("b")).distinct())
         links = found if links is None else links.unionByName(found)
-        if level == DEPTH or many.isEmpty():
+        many = shared.filter(F.col("n") > SMALL)
+        if many.isEmpty():
+            break
+        if level == DEPTH:  # these share DEPTH sampled tokens
+            links = links.unionByName(many.filter("gid <> least").select(F.col("least").alias("a"), F.col("gid").alias("b")).distinct())
             break
-        deeper = many.select("path", "gid").join(sketches, "gid").select("path", "gid", "sketch")
-        paths = scratch.save(deeper.mapInArrow(_next_paths(chance), "path bigint, gid bigint"), f"paths-{level + 1}")
+        heads = many.select("path", "least").distinct().join(sketches.withColumnsRenamed({"gid": "least", "sketch": "head"}), "least")
+        heads = scratch.save(heads, f"heads-{level}")
+        deeper = many.select("path", "gid").join(sketches, "gid").join(_small(heads, BROADCAST_ROWS // 20), "path").select("path", "gid", "sketch", "least", "head")
+        split = scratch.save(deeper.mapInArrow(_next_paths(chance), "path bigint, gid bigint, first bigint"), f"split-{level}")
+        links = links.unionByName(split.filter("first is not null").select(F.col("first").alias("a"), F.col("gid").alias("b")).distinct())
+        paths = split.filter("path is not null").select("path", "gid")
     return scratch.save(links.distinct(), "links")
 
 
