@@ -95,7 +95,7 @@ def eval_brief(chapters: DataFrame, evals: DataFrame, novel: DataFrame, least_ev
     own = F.coalesce(F.col("weakest_chapter") == F.col("chapter"), F.lit(False))
     problems = F.concat(
         _list([F.when(own, F.lit("This is the novel's weakest chapter"))]),
-        F.transform(F.coalesce(weak, F.array()), lambda d: F.concat(d["dim"], F.lit(" ("), d["score"].cast("int"), F.lit("/10): "), d["weakest_moment"])),
+        F.transform(F.coalesce(weak, F.array()), lambda d: F.concat(d["dim"], F.lit(" ("), d["score"], F.lit("/10): "), d["weakest_moment"])),
         _each(F.col("ai_patterns_detected"), lambda x: F.concat(F.lit("- "), x)), _each(F.col("three_weakest_sentences"), lambda x: F.concat(F.lit('- "'), x, F.lit('"'))),
         _list([F.when(feedback.mentions_chapter(F.coalesce("pacing_note", F.lit("")), F.col("chapter")), F.concat(F.lit("Pacing note: "), "pacing_note"))]),
     )
