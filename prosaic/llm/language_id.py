@@ -119,31 +119,73 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return Model(languages, counts)
 
 
-def _scores(model: Model, text_at: int, keep_text: bool):
+def _shares(logs: np.ndarray) -> np.ndarray:
+    """Rows of probabilities from rows of log-likelihoods."""
+    if not logs.shape[1]:
+        return logs
+    e = np.exp(logs - logs.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _host_sums(model: Model):
+    """host, domain, suffix, text -> host, domain, suffix and the sums of the texts' posteriors; one row a host and batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(model.languages)
         for batch in batches:
-            score, number = model.posterior(batch.column(text_at))
-            added = [pa.array(score.tolist(), pa.list_(pa.float64())), pa.array(number, pa.int64())]
-            columns = [c for k, c in enumerate(batch.columns) if keep_text or k != text_at]
-            yield pa.RecordBatch.from_arrays([*columns, *added], names=[f"c{k}" for k in range(len(columns) + 2)])
+            logs, number = model.posterior(batch.column(3))
+            own = _shares(logs) * (number > 0)[:, None]
+            places: dict[tuple, int] = {}
+            at = np.array([places.setdefault(k, len(places)) for k in zip(*(batch.column(c).to_pylist() for c in range(3)))], np.int64)
+            sums = [np.bincount(at, weights=own[:, k], minlength=len(places)) for k in range(n)]
+            keys = list(places)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in keys], pa.string()) for c in range(3)), *map(pa.array, sums)], names=["host", "domain", "suffix", *[f"s{k}" for k in range(n)]])
 
     return run
 
 
-def _softmax(logs: Column, n: int) -> Column:
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    total = reduce(lambda a, b: a + b, [F.get(e, F.lit(k)) for k in range(n)], F.lit(0.0))
-    return F.transform(e, lambda x: x / total)
+def _said(languages: list[str], said: list, trust: float) -> np.ndarray:
+    """Log-likelihoods of declarations; one that is missing or names another language says nothing."""
+    out = np.zeros((len(said), len(languages)))
+    place = {x: k for k, x in enumerate(languages)}
+    other = np.log(max((1 - trust) / max(1, len(languages) - 1), 1e-9))
+    for i, x in enumerate(said):
+        if x in place:
+            out[i] = other
+            out[i, place[x]] = np.log(trust)
+    return out
 
 
-def _evidence(languages: list[str], said: Column, trust: float) -> Column:
-    """Log-likelihoods of a declaration; one that is missing or names another language says nothing."""
-    other = (1 - trust) / max(1, len(languages) - 1)
-    return F.when(said.isin(languages), F.array(*[F.when(said == x, F.log(F.lit(trust))).otherwise(F.log(F.lit(max(other, 1e-9)))) for x in languages])).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
+def _fuse(model: Model, carried: int, text_at: int, keep: float | None):
+    """Carried columns, declared, suffix, text (or the carried text), domain prior, host sums -> the carried columns and what was found, or, with keep, only them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(model.languages)
+        names = np.array([*model.languages, None], object)
+        for batch in batches:
+            columns = batch.columns
+            logs, number = model.posterior(columns[text_at])
+            rest = columns[carried:]
+            own = _shares(logs) * (number > 0)[:, None]
+            domain, sums = (np.array(c.to_pylist(), float).reshape(batch.num_rows, n) for c in rest[-2:])
+            left = np.maximum(sums - own, 0)
+            prior = (left + SMOOTHING * domain) / (left.sum(1, keepdims=True) + SMOOTHING)
+            suffix = [SUFFIX_LANGUAGE.get(x) for x in rest[1].to_pylist()]
+            found = _shares(np.log(prior) + logs + _said(model.languages, rest[0].to_pylist(), DECLARED_TRUST) + _said(model.languages, suffix, SUFFIX_TRUST))
+            sure = found.max(1, initial=0.0)
+            if keep is not None:
+                rows = pa.array(sure >= keep)
+                yield pa.RecordBatch.from_arrays([c.filter(rows) for c in columns[:carried]], names=[f"c{i}" for i in range(carried)])
+                continue
+            best = names[found.argmax(1)] if n else np.full(batch.num_rows, None)
+            by_text = np.where(number > 0, names[logs.argmax(1)], None) if n else np.full(batch.num_rows, None)
+            added = [pa.array(best.tolist(), pa.string()), pa.array(sure), pa.array(found.tolist(), pa.list_(pa.float64())), pa.array(by_text.tolist(), pa.string()), pa.array(number)]
+            yield pa.RecordBatch.from_arrays([*columns[:carried], *added], names=[f"c{i}" for i in range(carried + len(added))])
+
+    return run
 
 
-def identify(rows: DataFrame, model: Model, text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, carry: tuple[str, ...] = (), carried_text: str | None = None) -> DataFrame:
+def identify(rows: DataFrame, model: Model, text: Column | None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, carry: tuple[str, ...] = (), carried_text: str | None = None, keep: float | None = None) -> DataFrame:
     """carry columns, language, confidence, posterior (by language in order), text_language, n_trigrams.
 
     language is the largest posterior's, the first in alphabetical order of equal
@@ -152,67 +194,48 @@ def identify(rows: DataFrame, model: Model, text: Column, declared: Column | Non
     Without languages (an empty labelled table) language is null and confidence 0.
     Repeated rows are scored each; an empty table gives an empty table.
 
-    carried_text names the text among the carried columns. Scores are then made
-    once for the priors and once for the rows instead of saving whole texts.
+    carried_text names the text among the carried columns instead of text. With
+    keep, only the carried columns of rows of at least that confidence come back.
+    Texts are scored once for the hosts' priors and once for the rows; only sums of
+    hosts are shuffled and saved.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
     n = len(model.languages)
-    none = F.lit(None).cast("string")
-    parts = rows.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(carry)],
-        F.lower(declared if declared is not None else none).alias("declared"), *[F.coalesce(F.lower(x if x is not None else none), F.lit("")).alias(name) for x, name in ((host, "host"), (suffix, "suffix"))], *([] if carried_text else [text.cast("string").alias("text")]),
-    )
-    at = carry.index(carried_text) if carried_text else len(parts.columns) - 1
-    fields = parts.schema.fields if carried_text else parts.schema.fields[:-1]
-    kept, end = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), len(fields)
-    names = [*[f.name for f in fields], "logs", "n_trigrams"]
-    scored = parts.mapInArrow(_scores(model, at, bool(carried_text)), f"{kept}, c{end} array<double>, c{end + 1} bigint").toDF(*names)
-    keys = [f"k{i}" for i in range(len(carry))]
-    if not n:
-        empty = [F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.array().cast("array<double>").alias("posterior"), F.lit(None).cast("string").alias("text_language")]
-        return scored.select(*[F.col(k).alias(c) for k, c in zip(keys, carry)], *empty, "n_trigrams")
-    scratch = Scratch(spark, "language")
-    labels = F.split("host", r"\.")
+    low = lambda c: F.coalesce(F.lower(c if c is not None else F.lit(None).cast("string")), F.lit(""))
+    text = F.col(carried_text) if carried_text else text.cast("string")
+    labels = F.split(low(host), r"\.")
     domain = F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))
-    scored = scored.withColumn("domain", domain)
-    scored = scored.withColumn("own", _softmax(F.col("logs"), n))
-    scored = scored if carried_text else scratch.save(scored, "scored")
-
-    # soft counts by host, then rolled up to domains, suffixes and all rows: only the first groups the rows
-    spoken = F.when(F.col("n_trigrams") > 0, 1.0).otherwise(0.0)
-    sums = [F.sum(spoken * F.get("own", F.lit(k))).alias(f"s{k}") for k in range(n)]
-    again = [F.sum(f"s{k}").alias(f"s{k}") for k in range(n)]
-    by_host = scratch.save(scored.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
-    by_domain = by_host.groupBy("domain", "suffix").agg(*again)
-    by_suffix = by_host.groupBy("suffix").agg(*again)
+    sums = [f"s{k}" for k in range(n)]
+
+    # soft counts by host, then rolled up to domains, suffixes and all rows: only the first reads the rows
+    scratch = Scratch(spark, "language")
+    by = rows.select(low(host).alias("host"), domain.alias("domain"), low(suffix).alias("suffix"), text.alias("text"))
+    schema = ", ".join(["host string, domain string, suffix string", *[f"{s} double" for s in sums]])
+    again = [F.sum(s).alias(s) for s in sums] or [F.count("*").alias("none")]
+    by_host = scratch.save(by.mapInArrow(_host_sums(model), schema).groupBy("host", "domain", "suffix").agg(*again), "hosts")
     whole = by_host.agg(*again).first()
-    total = [float(x or 0) + 1.0 for x in whole]
-    p0 = [x / sum(total) for x in total]
+    total = [float(x or 0) + 1.0 for x in whole][:n]
+    mass = reduce(lambda a, b: a + b, [F.col(s) for s in sums], F.lit(0.0))
 
     def smoothed(level: DataFrame, key: list[str], name: str, parent: list[Column]) -> DataFrame:
-        mass = reduce(lambda a, b: a + b, [F.col(f"s{k}") for k in range(n)])
-        prior = F.array(*[(F.col(f"s{k}") + SMOOTHING * parent[k]) / (mass + SMOOTHING) for k in range(n)])
-        return level.select(*key, prior.alias(name))
+        return level.select(*key, F.array(*[(F.col(s) + SMOOTHING * p) / (mass + SMOOTHING) for s, p in zip(sums, parent)]).cast("array<double>").alias(name))
 
-    p_suffix = smoothed(by_suffix, ["suffix"], "p_suffix", [F.lit(x) for x in p0])
-    p_domain = smoothed(by_domain.join(p_suffix, "suffix"), ["domain", "suffix"], "p_domain", [F.get("p_suffix", F.lit(k)) for k in range(n)])
-    priors = by_host.join(p_domain, ["domain", "suffix"]).select("host", "suffix", "p_domain", F.array(*[F.col(f"s{k}") for k in range(n)]).alias("sums"))
+    each = lambda c: [F.get(c, F.lit(k)) for k in range(n)]
+    p_suffix = smoothed(by_host.groupBy("suffix").agg(*again), ["suffix"], "p_suffix", [F.lit(x / sum(total)) for x in total])
+    p_domain = smoothed(by_host.groupBy("domain", "suffix").agg(*again).join(p_suffix, "suffix"), ["domain", "suffix"], "p_domain", each("p_suffix"))
+    priors = by_host.join(p_domain, ["domain", "suffix"]).select(F.col("host").alias("__host"), F.col("suffix").alias("__suffix"), "p_domain", F.array(*sums).cast("array<double>").alias("sums"))
     priors = scratch.save(priors, "priors")
     small = F.broadcast(priors) if priors.count() <= BROADCAST_ROWS else priors
-    full = scored.join(small, ["host", "suffix"], "left")
-    left = [F.greatest(F.get("sums", F.lit(k)) - spoken * F.get("own", F.lit(k)), F.lit(0.0)) for k in range(n)]
-    mass = reduce(lambda a, b: a + b, left)
-    prior = F.array(*[F.log((left[k] + SMOOTHING * F.get("p_domain", F.lit(k))) / (mass + SMOOTHING)) for k in range(n)])
-    fused = [prior, F.col("logs"), _evidence(model.languages, F.col("declared"), DECLARED_TRUST), _evidence(model.languages, F.coalesce(*[F.when(F.col("suffix") == s, F.lit(x)) for s, x in SUFFIX_LANGUAGE.items()]), SUFFIX_TRUST)]
-    logs = F.array(*[reduce(lambda a, b: a + b, [F.get(x, F.lit(k)) for x in fused]) for k in range(n)])
-    out = full.select(*keys, "own", "n_trigrams", _softmax(logs, n).alias("posterior"))
-    known = F.array(*[F.lit(x) for x in model.languages])
-
-    def best(p: str) -> Column:
-        return F.element_at(known, F.array_position(F.col(p), F.array_max(p)).cast("int"))
 
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, carry)], best("posterior").alias("language"), F.array_max("posterior").alias("confidence"), "posterior", F.when(F.col("n_trigrams") > 0, best("own")).alias("text_language"), "n_trigrams")
+    parts = rows.select(*carry, F.lower(declared if declared is not None else F.lit(None).cast("string")).alias("__declared"), low(suffix).alias("__suffix"), low(host).alias("__host"), *([] if carried_text else [text.alias("__text")]))
+    known = parts.join(small, ["__host", "__suffix"]).select(*carry, "__declared", "__suffix", *([] if carried_text else ["__text"]), "p_domain", "sums")
+    kept = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(known.schema.fields[: len(carry)])]
+    at = carry.index(carried_text) if carried_text else len(carry) + 2
+    found = ("language string", "confidence double", "posterior array<double>", "text_language string", "n_trigrams bigint")
+    added = [] if keep is not None else [f"c{len(carry) + i} {f.split()[1]}" for i, f in enumerate(found)]
+    out = known.mapInArrow(_fuse(model, len(carry), at, keep), ", ".join([*kept, *added]))
+    return out.toDF(*carry, *([] if keep is not None else [f.split()[0] for f in found]))
 
 
 def plain(html: Column) -> Column:
@@ -247,8 +270,8 @@ def keep_identified(docs: DataFrame, model: Model, confidence: float = 0.5, text
     at = {c: carry[i] for i, c in enumerate(docs.columns)}
     declared = F.col(at["lang"]) if "lang" in at else None
     host = F.col(at["source"]) if "source" in at else None
-    found = identify(renamed, model, F.col(at[text_col]), declared, host, None, carry, carried_text=at[text_col])
-    return found.filter(F.coalesce(F.rlike(at[text_col], F.lit(r"\p{L}")), F.lit(False)) & (F.col("confidence") >= confidence)).select(*carry).toDF(*docs.columns)
+    texts = renamed.filter(F.coalesce(F.rlike(at[text_col], F.lit(r"\p{L}")), F.lit(False)))
+    return identify(texts, model, None, declared, host, None, carry, carried_text=at[text_col], keep=confidence).toDF(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
