@@ -300,9 +300,9 @@ def _exact(threshold: float):
             sets += [values[a:b] for a, b in zip(begin, begin[1:])]
         digest = np.array([mix(x ^ _MARKS[0]).sum(dtype=U64) for x in sets], U64).view(np.int64)
         # rows that share an id but not the set were fetched by that id; repeated rows count once
-        fits = (digest == frame["d1"].to_numpy()) & ~frame.duplicated(["root", "i", "j", "gid"]).to_numpy()
+        fits = frame[digest == frame["d1"].to_numpy()].drop_duplicates(["root", "i", "j", "gid"])
         out = []
-        for _, own in frame[fits].groupby(["root", "i", "j"], sort=False):
+        for _, own in fits.groupby(["root", "i", "j"], sort=False):
             count, links = compared(own, [sets[k] for k in own.index])
             out.append(pd.DataFrame({"gid": own["gid"].to_numpy(), "n": count, "link": own["gid"].to_numpy()}))
             out.append(pd.DataFrame({"gid": [a for a, _ in links], "n": 0, "link": [b for _, b in links]}, dtype="int64"))
