@@ -387,3 +387,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM d WHERE len(w) > 0),
+c AS (SELECT doc_id, md5(array_to_string(s, chr(10))) AS h, len(s) AS n, s FROM s),
+g AS (SELECT h, min(doc_id) AS id, count(*) AS copies, any_value(n) AS n, any_value(s) AS s FROM c GROUP BY 1),
+t AS (SELECT h, n, unnest(s) AS t FROM g),
+p AS (SELECT a.h AS a, b.h AS b FROM t a JOIN t b ON a.t = b.t AND a.h < b.h GROUP BY a.h, b.h, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT h AS a, h AS b FROM g UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT r.a AS h, min(g.id) AS class_id FROM r JOIN g ON g.h = r.b GROUP BY 1),
+l AS (SELECT a AS h, count(*) AS n_links FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(l.n_links, 0)::BIGINT AS n_links, coalesce(g.copies, 1)::BIGINT AS copies, coalesce(c.n, 0)::BIGINT AS set_size
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN g ON g.h = c.h LEFT JOIN k ON k.h = c.h LEFT JOIN l ON l.h = c.h
+"""

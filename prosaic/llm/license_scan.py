@@ -142,4 +142,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_licenses", "licenses", F.round("best_dice", 9).alias("best_dice"))
+
+
+def oracle_sql() -> str:
+    """The same over all lines, paragraphs and texts, without pruning."""
+    words = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    grams = "list_distinct(list_transform(range(1, greatest(len({0}) - 1, 1) + 1), lambda i: array_to_string({0}[i : i + 1], ' ')))"
+    templates = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
+    return f"""
+WITH t AS (SELECT nr, name, {grams.format("w")} AS g FROM (SELECT nr, name, {words.format("body")} AS w FROM (VALUES {templates}) v(nr, name, body))),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM d UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\\n\\n+')) FROM d UNION ALL SELECT doc_id, text FROM d),
+w AS (SELECT doc_id, {words.format("u")} AS w FROM u),
+g AS (SELECT doc_id, row_number() OVER () AS r, {grams.format("w")} AS g FROM w WHERE len(w) > 0),
+x AS (SELECT r, doc_id, len(g) AS n, unnest(g) AS b FROM g), y AS (SELECT nr, name, len(g) AS m, unnest(g) AS b FROM t),
+s AS (SELECT r, doc_id, nr, name, 2 * count(*) / (n + m) AS dice FROM x JOIN y USING (b) GROUP BY r, doc_id, nr, name, n, m HAVING 2 * count(*) / (n + m) >= {THRESHOLD} - 1e-12),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, nr) AS first FROM s),
+a AS (SELECT doc_id, count(DISTINCT name) AS n_licenses, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS best FROM k WHERE first = 1 GROUP BY 1)
+SELECT doc_id, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, round(coalesce(best, 0e0), 9) AS best_dice FROM d LEFT JOIN a USING (doc_id)
+"""

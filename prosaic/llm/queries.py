@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op5_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op6_license_scan": license_scan.oracle_sql(),
+        "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
