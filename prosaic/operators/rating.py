@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosaic.operators.ranking import global_rank
+from prosaic.sources.tables import saved
+
 # Fixed values.
 START, K, SCALE, ROUNDS = 1500.0, 32.0, 400.0, 4
 
@@ -22,8 +25,6 @@ def pairings(players: DataFrame) -> DataFrame:
     Ranks come from a range exchange and one count per partition, not from one
     window over all players.
     """
-    from prosaic.operators.ranking import global_rank
-
     ranked = global_rank(players.select("player", "seed", "elo"), [F.desc("elo"), F.asc("seed")], "rank")
     pair = F.floor((F.col("rank") - 1) / 2)
     side = lambda p: F.max(F.when(F.col("rank") % 2 == p, F.struct("player", "elo")))
@@ -53,7 +54,7 @@ def tournament(players: DataFrame, judge: Callable[[DataFrame], DataFrame], roun
     round's table and reads it again, so that plans don't grow from round to
     round; it gets the table and a name. The sum of ratings never changes.
     """
-    save = save or (lambda df, name: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df)
+    save = save or saved
     now, played = players.select("player", "seed", F.lit(START).alias("elo")), []
     for n in range(1, rounds + 1):
         judged = save(judge(pairings(now)), f"round{n}")
@@ -64,8 +65,6 @@ def tournament(players: DataFrame, judge: Callable[[DataFrame], DataFrame], roun
 
 def ranking(ratings: DataFrame) -> DataFrame:
     """ratings with rank, by rating and then seed."""
-    from prosaic.operators.ranking import global_rank
-
     return global_rank(ratings, [F.desc("elo"), F.asc("seed")], "rank")
 
 

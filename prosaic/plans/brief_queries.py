@@ -13,6 +13,7 @@ from prosaic.plans import probes
 from prosaic.plans.corpus import comparable, local, table, values
 from prosaic.plans.feedback_queries import panel
 from prosaic.sources import files
+from prosaic.sources.tables import shared_folder
 
 _CHAPTERS = [
     (5, "# Chapter 5: The Market\n\n" + "word " * 100, "The bell, once.", ["One good line.", "Another."]),
@@ -78,8 +79,7 @@ def q_rendered_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def q_experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:

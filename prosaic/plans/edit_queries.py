@@ -9,6 +9,7 @@ from prosaic.functions import text as t
 from prosaic.operators import chunk, control, edit, rating, score
 from prosaic.plans import probes
 from prosaic.plans.corpus import SPACE, comparable, local, table, values
+from prosaic.sources.tables import saved
 
 _CUT = "array<struct<quote:string,type:string,action:string,rewrite:string>>"
 
@@ -69,7 +70,7 @@ def _players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tournament(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    players = _players(spark, sf_dir).cache()
+    players = saved(_players(spark, sf_dir), "players")
     strength = players.select("player", "strength")
 
     def judge(pairs: DataFrame) -> DataFrame:
