@@ -6,7 +6,8 @@ letters, ignore case by Unicode rules and end lines at ``\\n`` only.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 WS = f"[{SPACE}]+"
 NOT_WS = f"[^{SPACE}]+"
+#: The same characters, for trimming.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What is trimmed off a token before it is compared; the second set also has dashes.
 MARKS = ".,;:!?\"'()"
 MARKS_AND_DASHES = MARKS + "—-–"
@@ -27,7 +30,7 @@ def blank_if_null(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{WS}|{WS}\\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def tokens(text: Column) -> Column:
@@ -76,6 +79,52 @@ def count_pattern(text: Column, pattern: str, multiline: bool = False) -> Column
     return F.regexp_count(text, F.lit(flagged(pattern, multiline)))
 
 
+def _needed(parsed) -> list[str]:
+    """Literals of which any match has one, in lower case: those of the best stretch of a parsed pattern; empty if none is sure."""
+    found: list[list[str]] = []
+    run = ""
+    for kind, value in [*parsed, (None, None)]:
+        if str(kind) == "LITERAL":
+            run += chr(value).lower()
+            continue
+        if run:
+            found.append([run])
+            run = ""
+        if str(kind) == "SUBPATTERN":
+            found.append(_needed(value[3]))
+        elif str(kind) == "MAX_REPEAT" and value[0] > 0:
+            found.append(_needed(value[2]))
+        elif str(kind) == "BRANCH":
+            each = [_needed(x) for x in value[1]]
+            found.append([w for x in each for w in x] if all(each) else [])
+    return max(filter(None, found), key=lambda ws: (min(map(len, ws)), sum(map(len, ws)) / len(ws)), default=[])
+
+
+@lru_cache(maxsize=None)
+def anchors(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which a text that matches, ignoring case, has at least one."""
+    return tuple(dict.fromkeys(_needed(_parser.parse(pattern))))
+
+
+#: Letters that match an ASCII letter when case is ignored, but don't lower to it.
+_ODD_CASE = "[ſKİı]"
+
+
+def odd_case(text: Column) -> Column:
+    return F.rlike(text, F.lit(_ODD_CASE))
+
+
+def count_patterns(text: Column, lowered: Column, odd: Column, patterns: list[str], multiline: bool = False) -> Column:
+    """All matches of all patterns. A pattern runs only over texts that have one of its literals in lower case, or odd_case() letters."""
+
+    def one(p: str) -> Column:
+        n = count_pattern(text, p, multiline)
+        tests = [lowered.contains(w) for w in anchors(p)]
+        return F.when(reduce(lambda a, b: a | b, tests, odd), n).otherwise(0) if tests else n
+
+    return total([one(p) for p in patterns])
+
+
 def count_literal(text: Column, literal: str) -> Column:
     """Occurrences that don't overlap, from the left."""
     return F.regexp_count(text, F.lit(r"\Q" + literal + r"\E"))

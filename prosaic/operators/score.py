@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prosaic.functions import lexicons as L
 from prosaic.functions import text as t
+from prosaic.sources.tables import saved
 
 
 def _dashes(text: Column) -> Column:
@@ -46,18 +47,16 @@ def slop_score(docs: DataFrame, text_col: str = "text", separator: Column | str
 
     Null texts are empty. Thresholds act on unrounded values.
     """
-    text = t.blank_if_null(F.col(text_col))
-    hits = docs.withColumns(
+    text, low = t.blank_if_null(F.col(text_col)), F.col("_low")
+    packs = {"tier3": (L.TIER3, True), "tells": (L.TELLS, False), "tics": (L.TICS, False), "telling": (L.TELLING, False)}
+    base = docs.withColumns({"_low": F.lower(text), "_odd": t.odd_case(text)})
+    hits = base.withColumns(
         {
             "words": t.word_count(text),
-            "_one": t.lexicon_hits(text, L.TIER1),
-            "_two": t.lexicon_hits(text, L.TIER2),
+            "_hits": t.lexicon_hits(text, L.TIER1 + L.TIER2),
             "_paragraphs": t.paragraphs(text, separator),
             "_lengths": t.sentence_lengths(text),
-            "tier3": t.total([t.count_pattern(text, p, True) for p in L.TIER3]),
-            "tells": t.total([t.count_pattern(text, p) for p in L.TELLS]),
-            "tics": t.total([t.count_pattern(text, p) for p in L.TICS]),
-            "telling": t.total([t.count_pattern(text, p) for p in L.TELLING]),
+            **{name: t.count_patterns(text, low, F.col("_odd"), pack, multiline) for name, (pack, multiline) in packs.items()},
             "dashes": _dashes(text),
         }
     )
@@ -65,16 +64,16 @@ def slop_score(docs: DataFrame, text_col: str = "text", separator: Column | str
     n, s, q = F.size("_lengths").cast("long"), _sum(F.col("_lengths")), _sum(F.col("_lengths"), 2)
     found = hits.withColumns(
         {
-            "tier1": F.size(F.array_distinct("_one")),
-            "tier1_hits": F.size("_one"),
-            "tier2_hits": F.size("_two"),
+            "tier1": F.size(F.array_intersect("_hits", F.array(*map(F.lit, L.TIER1)))),
+            "tier1_hits": _members("_hits", L.TIER1),
+            "tier2_hits": _members("_hits", L.TIER2),
             "tier2_clusters": F.size(F.filter(F.transform("_paragraphs", F.lower), lambda p: t.total([p.contains(w).cast("int") for w in L.TIER2]) >= 3)),
             "paragraphs": F.size("_paragraphs"),
             "transitions": F.size(F.filter("_paragraphs", lambda p: F.rlike(F.lower(p), F.lit(opener)))),
             "dash_density": F.col("dashes") / F.greatest("words", F.lit(1)) * 1000,
             "sentence_cv": F.when(n > 2, F.try_divide(_deviation(n, s, q, False), s.cast("double") / F.greatest(n, F.lit(1)).cast("double"))).otherwise(0.5),
         }
-    ).drop("_one", "_two", "_paragraphs", "_lengths")
+    ).drop("_low", "_odd", "_hits", "_paragraphs", "_lengths")
     found = found.withColumn("transition_ratio", F.coalesce(F.try_divide(F.col("transitions"), F.col("paragraphs")), F.lit(0.0)))
     density, cv, ratio = F.col("dash_density"), F.col("sentence_cv"), F.col("transition_ratio")
     capped = lambda c, k, most: F.least(F.col(c) * F.lit(k), F.lit(most))
@@ -121,7 +120,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", separator: Column | str
     base = docs.withColumns(
         {
             "word_count": t.word_count(text),
-            "_sentences": t.sentences(text),
+            "_parts": F.split(text, t.SENTENCE_END),
             "_para": F.transform(t.prose_paragraphs(text, separator), t.word_count),
             "_wells": t.lexicon_hits(text, well_words, t.MARKS_AND_DASHES),
             "_dialogue": _sum(F.transform(F.regexp_extract_all(text, F.lit(spans), F.lit(1)), t.word_count)),
@@ -133,8 +132,8 @@ def fingerprint(docs: DataFrame, text_col: str = "text", separator: Column | str
     )
     base = base.withColumns(
         {
-            "_len": F.transform("_sentences", t.word_count),
-            "_he": F.size(F.filter("_sentences", lambda s: F.rlike(s, F.lit(f"^[Hh]e(?![^{t.SPACE}])")))),
+            "_len": F.filter(F.transform("_parts", t.word_count), lambda n: n > 2),
+            "_he": F.size(F.filter("_parts", lambda s: F.rlike(s, F.lit(f"^[{t.SPACE}]*[Hh]e(?![^{t.SPACE}])")) & (t.word_count(s) > 2))),
             **{f"_{k}": _members("_wells", ws) for k, ws in {**L.WELLS, "abstract": L.ABSTRACT}.items()},
         }
     )
@@ -173,11 +172,12 @@ def corpus_average(prints: DataFrame) -> DataFrame:
 def outliers(prints: DataFrame, id_col: str, limit: float = 1.5, partition: list[str] | None = None) -> DataFrame:
     """id, metric, value, z, direction where a metric lies more than `limit` sample deviations off the corpus mean.
 
-    A metric needs more than two documents and some spread. Statistics are one
-    aggregate row (per partition, if columns are given) joined back, so documents
-    are not gathered.
+    A metric needs more than two documents and some spread. The metrics are saved,
+    so that texts are read once; statistics are one aggregate row (per partition,
+    if columns are given) joined back, so documents are not gathered.
     """
     keys = partition or []
+    prints = saved(prints.select(id_col, *keys, *METRICS), "fingerprints")
     stats = prints.groupBy(*keys).agg(*[f(F.col(m).cast("double")).alias(f"{n}_{m}") for m in METRICS for n, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))])
     joined = prints.join(F.broadcast(stats), keys) if keys else prints.crossJoin(F.broadcast(stats))  # one row
     rows = joined.select(id_col, *keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.col(f"n_{m}").alias("n"), F.col(f"mean_{m}").alias("mean"), F.col(f"std_{m}").alias("std")) for m in METRICS])))

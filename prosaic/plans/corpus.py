@@ -49,8 +49,20 @@ def values(rows: list[tuple], names: list[str]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS probe({', '.join(names)})"
 
 
+#: A table of texts up to this many bytes may lie in one row group, which a single task would read.
+SMALL_TABLE = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; small ones of texts are dealt over all cores, for what is done with texts costs more than moving them."""
+    path = f"{sf_dir}/{name}.parquet"
+    read = spark.read.parquet(path)
+    if name in ("documents", "conversations"):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+        if (1 << 20) < size <= SMALL_TABLE:
+            return read.repartition(spark.sparkContext.defaultParallelism)
+    return read
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
