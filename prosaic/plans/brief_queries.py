@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosaic.functions import text as t
-from prosaic.operators import brief
+from prosaic.operators import brief, feedback
 from prosaic.plans import probes
 from prosaic.plans.corpus import comparable, local, table, values
-from prosaic.plans.feedback_queries import panel
+from prosaic.plans.feedback_queries import SPLIT_SQL, panel
 from prosaic.sources import files
 from prosaic.sources.tables import shared_folder
 
@@ -113,13 +113,53 @@ SELECT chapter::BIGINT AS chapter, coalesce(nullif(trim(regexp_replace(regexp_re
   words::BIGINT AS words, brief_type, trunc(words * CASE brief_type WHEN 'COMPRESS' THEN 0.55e0 WHEN 'TIGHTEN' THEN 0.85e0 ELSE 1e0 END)::BIGINT AS target_words FROM k
 """
 
+_TITLE = "coalesce(nullif(trim(regexp_replace(regexp_replace(CASE WHEN starts_with(text, '#') THEN split_part(text, chr(10), 1) ELSE '' END, '^#+\\s*', ''), '(?i)^Chapter\\s+(?:[0-9]+|[A-Z][a-z]+(?:-[A-Z][a-z]+)*)\\s*[:—–-]*\\s*', '')), ''), 'Untitled')"
+_TIGHT = [(n, x, tight, "|".join(f'- "{s}"' for s in strong or [])) for n, x, tight, strong in _CHAPTERS]
+_FLAT_CUTS = [(n, i, *[c[k] for k in (0, 1, 2, 3, 4)]) for n, own, *_ in _BRIEF_CUTS for i, c in enumerate(own)]
+_CUT_FACTS = [(n, len(own), total, loose, fat, verdict) for n, own, total, loose, fat, verdict in _BRIEF_CUTS]
+
+# parts of a list are joined by bars; empty ones are left out
+CUTS_BRIEF_SQL = f"""
+WITH c AS (SELECT chapter, text, tight, strong FROM {values(_TIGHT, ["chapter", "text", "tight", "strong"])}),
+f AS (SELECT chapter, n, total, loose, fat, verdict FROM {values(_CUT_FACTS, ["chapter", "n", "total", "loose", "fat", "verdict"])}),
+x AS (SELECT chapter, place, coalesce(quote, '') AS quote, coalesce(type, 'OTHER') AS type, coalesce(reason, '') AS reason, coalesce(action, 'CUT') AS action, rewrite FROM {values(_FLAT_CUTS, ["chapter", "place", "quote", "type", "reason", "action", "rewrite"])}),
+k AS (SELECT chapter, type, count(*) AS n, min(place) AS p FROM x GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY n DESC, p) AS r FROM k),
+d AS (SELECT chapter, max(CASE WHEN r = 1 THEN type END) AS dominant, max(CASE WHEN r = 1 THEN n END) AS top, string_agg(CASE WHEN r > 1 THEN '- ' || type || ': ' || n || ' instances' END, '|' ORDER BY r) AS rest FROM o GROUP BY 1),
+e AS (SELECT chapter, string_agg('"' || CASE WHEN length(quote) > 200 THEN left(quote, 200) || '...' ELSE quote END || '" ' || reason || CASE WHEN action = 'REWRITE' AND coalesce(rewrite, '') <> '' THEN ' → Rewrite as: ' || rewrite WHEN action = 'CUT' THEN ' → Cut entirely' ELSE '' END,
+  '|' ORDER BY list_position({brief.CUT_ORDER}, type), place) AS changes FROM x WHERE type IN {tuple(brief.CUT_ORDER)} GROUP BY 1),
+w AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS words FROM c JOIN f USING (chapter))
+SELECT w.chapter::BIGINT AS chapter, {_TITLE} AS title, words::BIGINT AS words, 'TIGHTEN' AS brief_type, (words - coalesce(total, 0))::BIGINT AS target_words, coalesce(dominant, 'MIXED') AS dominant, coalesce(changes, '') AS changes,
+  concat_ws('|', nullif('Tightest passage: ' || nullif(tight, ''), ''), nullif(strong, '')) AS keeps,
+  concat_ws('|', 'Adversarial edit found ' || coalesce(total, 0) || ' cuttable words (' || coalesce(fat, 0) || '% fat) across ' || w.n || ' passages', 'Verdict: ' || nullif(verdict, ''), 'Dominant cut pattern: ' || coalesce(dominant, 'MIXED') || ' (' || coalesce(top, 0) || ' instances)', rest, 'Loosest passage: ' || nullif(loose, '')) AS problems
+FROM w LEFT JOIN d ON d.chapter = w.chapter LEFT JOIN e ON e.chapter = w.chapter
+"""
+
+PANEL_BRIEF_SQL = f"""
+WITH {SPLIT_SQL}, c AS (SELECT chapter, text, tight, strong FROM {values(_TIGHT, ["chapter", "text", "tight", "strong"])}),
+g AS (SELECT chapter, string_agg('- ' || question || ': flagged by ' || k || '/' || total || ' readers (' || replace(flagged_by, '|', ', ') || ')', '|' ORDER BY question) AS flags FROM split WHERE k < total GROUP BY 1),
+m AS (SELECT c.chapter, question, '[' || reader || '] ' || answer AS said FROM c, panel WHERE regexp_matches(coalesce(answer, ''), '(?i)\\b(?:Chapter|Ch\\.?)\\s*' || c.chapter || '\\b')),
+q AS (SELECT chapter, question, string_agg(CASE WHEN length(said) > 500 THEN left(said, 500) || '...' ELSE said END, '|' ORDER BY said) AS said, min(said) AS first, string_agg(CASE WHEN length(said) > 300 THEN left(said, 300) || '...' ELSE said END, '|' ORDER BY said) AS short FROM m GROUP BY 1, 2),
+p AS (SELECT c.chapter, any_value(text) AS text, any_value(tight) AS tight, any_value(strong) AS strong, {', '.join(f"max(CASE WHEN question = '{x}' THEN said END) AS {x}" for x in feedback.BRIEFED)}, max(CASE WHEN question = 'worst_scene' THEN first END) AS worst, max(CASE WHEN question = 'missing_scene' THEN short END) AS missing
+  FROM c LEFT JOIN q ON q.chapter = c.chapter GROUP BY 1),
+w AS (SELECT p.*, flags, len(regexp_extract_all(text, '\\S+')) AS words, trim(regexp_extract(worst, '(?is)(?:The fix(?:\\s+is\\s*\\w*)?|Fix)\\s*[:—]\\s*(.+)', 1)) AS fix, trim(regexp_replace(worst, '(?s)^[^\\]]*\\]', '')) AS plain,
+  CASE WHEN cut_candidate IS NOT NULL THEN 'COMPRESS' WHEN worst_scene IS NOT NULL THEN 'DRAMATIZE' WHEN momentum_loss IS NOT NULL THEN 'TIGHTEN' ELSE 'REVISE' END AS brief_type FROM p LEFT JOIN g USING (chapter))
+SELECT chapter::BIGINT AS chapter, {_TITLE} AS title, words::BIGINT AS words, brief_type, trunc(words * CASE brief_type WHEN 'COMPRESS' THEN 0.55e0 WHEN 'TIGHTEN' THEN 0.85e0 ELSE 1e0 END)::BIGINT AS target_words,
+  concat_ws('|', flags, momentum_loss, worst_scene, cut_candidate) AS problems,
+  concat_ws('|', best_scene, 'Tightest passage (from adversarial edit): "' || nullif(tight, '') || '"', nullif(strong, '')) AS keeps,
+  concat_ws('|', CASE WHEN momentum_loss IS NOT NULL THEN 'Pacing: tighten or restructure the scenes that drag' END,
+    'Dramatize: ' || CASE WHEN worst IS NULL THEN NULL WHEN fix <> '' THEN rtrim(CASE WHEN length(fix) > 300 THEN left(fix, 300) || '...' ELSE fix END, '.') WHEN length(plain) > 300 THEN left(plain, 300) || '...' ELSE plain END,
+    CASE WHEN cut_candidate IS NOT NULL THEN 'Compress: fold essential beats into fewer words' END, CASE WHEN thinnest_character IS NOT NULL THEN 'Deepen character: interiority, physical specificity or a complicating moment' END,
+    CASE WHEN missing_scene IS NOT NULL THEN 'Add missing beat near this chapter' END, missing) AS changes
+FROM w
+"""
+
 QUERIES = {
     "q_panel_brief_type": (q_panel_brief_type, TYPE_SQL),
     "q_experiment_log": (q_experiment_log, LOG_SQL),
     "q_chapter_files": (q_chapter_files, FILES_SQL),
-    "q_panel_brief": (q_panel_brief, None),
+    "q_panel_brief": (q_panel_brief, PANEL_BRIEF_SQL),
     "q_eval_brief": (q_eval_brief, None),
-    "q_cuts_brief": (q_cuts_brief, None),
+    "q_cuts_brief": (q_cuts_brief, CUTS_BRIEF_SQL),
     "q_auto_brief": (q_auto_brief, None),
     "q_rendered_brief": (q_rendered_brief, None),
 }

@@ -31,10 +31,10 @@ def _cuts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def q_apply_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cuts applied in order, those that occur once exactly among them; SQL gives the same where white space needs no bending."""
+    """Cuts applied in order: each sees what earlier ones left."""
     texts, cuts = _cuts(spark, sf_dir)
     done = edit.apply_cuts(texts, cuts, least_fat=10)
-    return comparable(done.select("doc_id", "applied", "failed", "skipped", "words_removed", "error", F.length("new_text").alias("new_length"), F.array_join("reasons", "|").alias("reasons")))
+    return comparable(done.select("doc_id", "applied", "failed", "skipped", "words_removed", "error", F.coalesce(F.length("new_text"), F.lit(-1)).alias("new_length"), F.array_join("reasons", "|").alias("reasons")))
 
 
 def q_apply_first_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +198,26 @@ FIRST_CUT_SQL = f"""
 WITH {_ALL_CUTS}, f AS (SELECT l.doc_id, l.quote, l.ok, d.text, CASE WHEN l.quote = '' THEN 0 ELSE (length(d.text) - length(replace(d.text, l.quote, ''))) // length(l.quote) END AS n FROM long l JOIN docs d USING (doc_id) WHERE l.doc_id >= 0 AND place = 0)
 SELECT doc_id, (ok AND n = 1)::BIGINT AS applied, (ok AND n <> 1)::BIGINT AS failed, (NOT ok)::BIGINT AS skipped, CASE WHEN ok AND n = 1 THEN length(regexp_replace(replace(text, quote, ''), '\\n{{3,}}', chr(10) || chr(10), 'g')) ELSE -1 END AS new_length FROM f
 """
+APPLY_SQL = f"""
+WITH RECURSIVE {_ALL_CUTS},
+texts AS (SELECT * FROM docs UNION ALL SELECT * FROM {values(probes.CUT_TEXTS, ["doc_id", "text"])}),
+n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (ok) AS ok FROM long GROUP BY 1),
+b AS (SELECT f.doc_id, fat, coalesce(n, 0) AS n, coalesce(ok, 0) AS ok, text, CASE WHEN fat < 10 THEN 'fat ' || fat || '% < threshold 10%' WHEN coalesce(n, 0) = 0 THEN 'no cuts in file' WHEN text IS NULL THEN 'text not found' END AS error
+  FROM fat f LEFT JOIN n ON n.doc_id = f.doc_id LEFT JOIN texts t ON t.doc_id = f.doc_id),
+c AS (SELECT doc_id, quote, w, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k, array_to_string(regexp_extract_all(quote, '[^{SPACE}]+'), ' ') AS plain,
+  array_to_string(list_transform(regexp_extract_all(quote, '[^{SPACE}]+'), lambda x: regexp_escape(x)), '[{SPACE}]+') AS pattern FROM long WHERE ok),
+f AS (SELECT doc_id, 0::BIGINT AS k, text, 0 AS applied, 0 AS failed, 0::BIGINT AS words, ''::VARCHAR AS reasons FROM b WHERE error IS NULL
+  UNION ALL
+  SELECT x.doc_id, x.k, CASE WHEN n = 1 THEN replace(x.text, quote, '') WHEN n = 0 AND why = '' THEN regexp_replace(x.text, pattern, '') ELSE x.text END, applied + (why = '')::INT, failed + (why <> '')::INT, words + CASE WHEN why = '' THEN w ELSE 0 END,
+    reasons || CASE WHEN x.k > 1 THEN '|' ELSE '' END || why
+  FROM (SELECT y.*, CASE WHEN n = 1 THEN '' WHEN n > 1 THEN 'ambiguous (' || n || ' matches)' WHEN length(plain) < 25 THEN 'quote too short after normalisation' WHEN m = 1 THEN '' WHEN m > 1 THEN 'ambiguous after ws-norm (' || m || ' matches)' ELSE 'not found' END AS why
+    FROM (SELECT f.doc_id, c.k, f.text, applied, failed, words, reasons, quote, plain, pattern, w, (length(f.text) - length(replace(f.text, quote, ''))) // length(quote) AS n, len(regexp_extract_all(f.text, pattern)) AS m
+      FROM f JOIN c ON c.doc_id = f.doc_id AND c.k = f.k + 1) y) x),
+l AS (SELECT doc_id, arg_max(text, k) AS text, max(applied) AS applied, max(failed) AS failed, max(words) AS words, arg_max(reasons, k) AS reasons FROM f GROUP BY 1)
+SELECT b.doc_id, coalesce(applied, 0)::BIGINT AS applied, coalesce(failed, 0)::BIGINT AS failed, (CASE WHEN fat < 10 THEN n WHEN error IS NULL THEN n - ok ELSE 0 END)::BIGINT AS skipped, coalesce(words, 0)::BIGINT AS words_removed, error,
+  CASE WHEN applied > 0 THEN length(regexp_replace(l.text, '\n{{3,}}', chr(10) || chr(10), 'g')) ELSE -1 END AS new_length, coalesce(reasons, '') AS reasons
+FROM b LEFT JOIN l ON l.doc_id = b.doc_id
+"""
 CUT_TYPES_SQL = f"WITH {_ALL_CUTS} SELECT doc_id, type, count(*) AS n, min(place)::BIGINT AS first_place FROM cuts GROUP BY 1, 2"
 DOMINANT_SQL = f"""
 WITH {_ALL_CUTS}, c AS (SELECT doc_id, type, count(*) AS n, min(place) AS p FROM cuts GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS k FROM c)
@@ -221,6 +241,23 @@ TOURNAMENT_SQL = f"WITH {_rounds(4)} SELECT player, round(elo, 6) AS elo FROM e4
 RANKING_SQL = f"WITH {_rounds(4)} SELECT player, row_number() OVER (ORDER BY round(elo, 6) DESC, player) AS rank FROM e4"
 MATCHUPS_SQL = f"WITH {_rounds(4)} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS round, a, b, coalesce(w, -1) AS winner FROM p{k}" for k in range(1, 5))
 
+#: The greedy fold, one unit a step for all scripts at once: segments, and the sentences of segments that are too long.
+CHUNKS_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id AS script, turn AS seq, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT -1 - doc_id, 0, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT script, seq, 0 AS i, 1 AS n, length(text) AS size, trim(regexp_replace(text, '\\[.*?\\]', '', 'g'), chr(10) || chr(9) || chr(13) || ' ') = '' AS blank, false AS part FROM t WHERE length(text) <= 4500
+  UNION ALL SELECT script, seq, i, n, length(s), false, true FROM (SELECT script, seq, unnest(p) AS s, unnest(range(len(p))) AS i, len(p) AS n FROM (SELECT script, seq, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) AS p FROM t WHERE length(text) > 4500))),
+o AS (SELECT *, row_number() OVER (PARTITION BY script ORDER BY seq, i) AS k FROM u),
+f AS (SELECT script, 0::BIGINT AS k, 0 AS chunk, 0 AS held, 0::BIGINT AS size, 0 AS put, false AS part, 0::BIGINT AS own FROM (SELECT DISTINCT script FROM o)
+  UNION ALL
+  SELECT o.script, o.k, c.chunk + c.flush + CASE WHEN o.part AND o.i = o.n - 1 THEN 1 ELSE 0 END,
+    CASE WHEN o.part THEN CASE WHEN o.i = o.n - 1 THEN 0 ELSE 1 END WHEN o.blank THEN CASE WHEN c.flush = 1 THEN 0 ELSE c.held END ELSE 1 END,
+    CASE WHEN o.part THEN CASE WHEN o.i = o.n - 1 THEN 0 WHEN c.flush = 1 OR o.i = 0 THEN o.size + 1 ELSE c.size + o.size + 1 END ELSE CASE WHEN c.flush = 1 THEN 0 ELSE c.size END + CASE WHEN o.blank THEN 0 ELSE o.size END END,
+    c.chunk + c.flush, o.part, CASE WHEN NOT o.part AND o.blank THEN -1 ELSE o.size END
+  FROM (SELECT f.script, f.k, f.chunk, f.held, f.size, CASE WHEN f.held = 0 THEN 0 WHEN o.part AND o.i = 0 THEN 1 WHEN f.size + o.size > 4500 THEN 1 ELSE 0 END AS flush FROM f JOIN o ON o.script = f.script AND o.k = f.k + 1) c
+  JOIN o ON o.script = c.script AND o.k = c.k + 1)
+SELECT script, put::BIGINT AS chunk, (CASE WHEN bool_or(part) THEN 1 ELSE count(*) END)::BIGINT AS segments, (sum(own) + CASE WHEN bool_or(part) THEN count(*) - 1 ELSE 0 END)::BIGINT AS chars FROM f WHERE k > 0 AND own >= 0 GROUP BY script, put
+"""
+
 SCRIPT_SQL = "SELECT conv_id, count(*) AS total_segments, string_agg(DISTINCT role, '|' ORDER BY role) AS speakers, coalesce(sum(length(text)), 0)::BIGINT AS total_chars FROM conversations GROUP BY 1"
 _CALLS = f"e AS (SELECT chapter, chunk, bool_or(ok) AS ok FROM {values(probes.CALLS, ['chapter', 'chunk', 'attempt', 'ok'])} WHERE attempt <= 3 GROUP BY 1, 2)"
 MANIFEST_SQL = f"WITH {_CALLS} SELECT chapter::BIGINT AS chapter, count(*) AS total_chunks, coalesce(string_agg(CASE WHEN ok THEN chunk::VARCHAR END, '|' ORDER BY chunk), '') AS succeeded, coalesce(string_agg(CASE WHEN NOT ok THEN chunk::VARCHAR END, '|' ORDER BY chunk), '') AS failed, bool_and(ok) AS complete FROM e GROUP BY 1"
@@ -276,11 +313,11 @@ QUERIES = {
     "q_cut_totals": (q_cut_totals, CUT_TOTALS_SQL),
     "q_cut_types": (q_cut_types, CUT_TYPES_SQL),
     "q_dominant_cut": (q_dominant_cut, DOMINANT_SQL),
-    "q_apply_cuts": (q_apply_cuts, None),
+    "q_apply_cuts": (q_apply_cuts, APPLY_SQL),
     "q_tournament": (q_tournament, TOURNAMENT_SQL),
     "q_ranking": (q_ranking, RANKING_SQL),
     "q_matchups": (q_matchups, MATCHUPS_SQL),
-    "q_chunks": (q_chunks, None),
+    "q_chunks": (q_chunks, CHUNKS_SQL),
     "q_script_totals": (q_script_totals, SCRIPT_SQL),
     "q_manifest": (q_manifest, MANIFEST_SQL),
     "q_audio_status": (q_audio_status, STATUS_SQL),

@@ -70,7 +70,7 @@ def q_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed reviews, an item a row, with the review's counts and the stop rule."""
     parsed = extract.parse_reviews(local(spark, probes.REVIEWS, "id int, raw_text string"))
     ruled = parsed.withColumn("rule", extract.should_stop(F.col("stars"), F.col("total_items"), F.col("major_items"), F.col("qualified_items")))
-    return comparable(ruled.select("id", "stars", "total_items", "major_items", "qualified_items", "rule.stop", "rule.reason", F.posexplode_outer("items").alias("place", "i")).select("id", "stars", "total_items", "major_items", "qualified_items", "stop", "reason", "place", "i.*"))
+    return comparable(ruled.select("id", "stars", "total_items", "major_items", "qualified_items", "rule.stop", "rule.reason", F.posexplode_outer("items").alias("place", "i")).select("id", "stars", "total_items", "major_items", "qualified_items", "stop", "reason", "place", "i.*").fillna(-1, ["place", "number"]))
 
 
 def q_review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,19 +90,19 @@ m AS (SELECT reader, question, unnest({_CHAPTERS.format("coalesce(answer, '')")}
 SELECT chapter, question, count(*) AS count, count(DISTINCT reader) AS readers, string_agg(reader, '|' ORDER BY reader) AS flagged_by FROM m GROUP BY 1, 2
 """
 
-_SPLIT = f"""
+SPLIT_SQL = f"""
 {PANEL_SQL}, readers AS (SELECT DISTINCT reader FROM panel),
 n AS (SELECT DISTINCT reader, question, coalesce(answer, '') AS answer, unnest({_CHAPTERS.format("coalesce(answer, '')")}) AS chapter FROM panel WHERE question IN {_IN(feedback.DISPUTED)}),
 pairs AS (SELECT DISTINCT question, chapter FROM n),
 full_ AS (SELECT p.question, p.chapter, r.reader, n.answer FROM pairs p CROSS JOIN readers r LEFT JOIN n ON n.question = p.question AND n.chapter = p.chapter AND n.reader = r.reader),
 split AS (SELECT question, chapter, string_agg(CASE WHEN answer IS NOT NULL THEN reader END, '|' ORDER BY reader) AS flagged_by, string_agg(CASE WHEN answer IS NULL THEN reader END, '|' ORDER BY reader) AS not_flagged,
   string_agg(CASE WHEN answer IS NOT NULL THEN reader || '=' || left(answer, 200) END, '|' ORDER BY reader) AS details, count(answer) AS k, count(*) AS total FROM full_ GROUP BY 1, 2)"""
-DISAGREEMENTS_SQL = f"WITH {_SPLIT} SELECT question, chapter, flagged_by, not_flagged, details FROM split WHERE k < total"
-FLAGGED_SQL = f"WITH {_SPLIT} SELECT chapter, question, question || ': flagged by ' || k || '/' || total || ' readers (' || replace(flagged_by, '|', ', ') || ')' AS line FROM split WHERE k < total"
+DISAGREEMENTS_SQL = f"WITH {SPLIT_SQL} SELECT question, chapter, flagged_by, not_flagged, details FROM split WHERE k < total"
+FLAGGED_SQL = f"WITH {SPLIT_SQL} SELECT chapter, question, question || ': flagged by ' || k || '/' || total || ' readers (' || replace(flagged_by, '|', ', ') || ')' AS line FROM split WHERE k < total"
 
 _ORDER = " ".join(f"WHEN '{q}' THEN {i}" for i, q in enumerate(dict.fromkeys([*feedback.DISPUTED, *feedback.SCANNED])))
 CONSENSUS_SQL = f"""
-WITH {_SPLIT}, d AS (SELECT chapter, question, k AS count, 'disagreement' AS source FROM split WHERE k < total),
+WITH {SPLIT_SQL}, d AS (SELECT chapter, question, k AS count, 'disagreement' AS source FROM split WHERE k < total),
 m AS (SELECT question, unnest({_CHAPTERS.format("coalesce(answer, '')")}) AS chapter FROM panel WHERE question IN {_IN(feedback.SCANNED)}),
 c AS (SELECT chapter, question, count(*) AS count, 'mention' AS source FROM m WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chapter = m.chapter AND d.question = m.question) GROUP BY 1, 2),
 u AS (SELECT *, CASE question {_ORDER} END AS q FROM (SELECT * FROM d UNION ALL SELECT * FROM c) WHERE chapter > 0),
@@ -146,6 +146,28 @@ w AS (SELECT id, stars, len(items)::BIGINT AS total_items, len(list_filter(items
 SELECT id::BIGINT AS id, stars, total_items, (coalesce(stars, 0) >= 4.5 AND major = 0) OR (coalesce(stars, 0) >= 4 AND total_items > 0 AND hedged / total_items > 0.5) OR total_items <= 2 AS stop FROM w
 """
 
+def _class_sql(classes: list, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(low, '{'|'.join(words)}') THEN '{name}'" for name, words in classes) + f" ELSE '{other}' END"
+
+
+# without lookahead: sections and suggestions end before a mark that is put at each possible end
+REVIEWS_SQL = f"""
+WITH r AS (SELECT id, coalesce(raw_text, '') AS text FROM {values(probes.REVIEWS, ["id", "raw_text"])}),
+h AS (SELECT *, regexp_extract(text, '(?:Professor|PROFESSOR|professor).*?(?:Review|Assessment|Analysis|Craft)') AS head FROM r),
+s AS (SELECT id, CASE WHEN head = '' THEN text ELSE left(text, strpos(text, head) - 1) END AS critic, CASE WHEN head = '' THEN '' ELSE substr(text, strpos(text, head) + length(head)) END AS professor FROM h),
+t AS (SELECT *, regexp_extract(critic, '★+½?|[0-9]+\\.?[0-9]*\\s*/?\\s*(?:out of\\s*)?(?:five|5)') AS rating,
+  list_filter(string_split(regexp_replace(professor, '\\n([0-9]+\\.\\s+[A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '^[0-9]+\\.\\s+.')) AS items FROM s),
+i AS (SELECT id, unnest(items) AS x, unnest(range(len(items))) AS place FROM t),
+j AS (SELECT *, lower(x) AS low, regexp_extract(x, '(?s)(?:Specific\\s+)?[Ss]uggestion[s]?:?\\s*\\n?(.*)', 1) AS asked FROM i),
+k AS (SELECT id, place, regexp_extract(x, '^([0-9]+)\\.', 1)::BIGINT AS number, trim(regexp_extract(x, '^[0-9]+\\.\\s+(.+?)(?:\\n|$)', 1)) AS title, {_class_sql(extract.SEVERITIES, "moderate")} AS severity, {_class_sql(extract.FIX_TYPES, "revision")} AS type,
+  regexp_matches(low, '{"|".join(extract.HEDGES)}') AS qualified, left(trim(split_part(regexp_replace(regexp_replace(asked, '\\n[0-9]+\\.', chr(1), 'g'), '\\n\\n[A-Z]', chr(1), 'g'), chr(1), 1), chr(10) || ' '), 500) AS suggestion, left(trim(x, chr(10) || ' '), 1000) AS full_text FROM j),
+u AS (SELECT id, CASE WHEN rating = '' THEN NULL ELSE len(regexp_extract_all(rating, '★')) + CASE WHEN contains(rating, '½') THEN 0.5e0 ELSE 0e0 END END AS stars, len(items)::BIGINT AS n FROM t),
+v AS (SELECT u.*, (SELECT count(*) FROM k WHERE k.id = u.id AND severity = 'major') AS major, (SELECT count(*) FROM k WHERE k.id = u.id AND qualified) AS hedged, coalesce(stars, 0) AS sn FROM u),
+w AS (SELECT *, CASE WHEN sn >= 4.5 AND major = 0 THEN '★★★★½ with no major items' WHEN sn >= 4 AND n > 0 AND hedged / n > 0.5 THEN '★' || repeat('★', trunc(sn)::INT) || ' with ' || hedged || '/' || n || ' items qualified' WHEN n <= 2 THEN 'Only ' || n || ' items found' END AS why FROM v)
+SELECT w.id::BIGINT AS id, stars, n AS total_items, major AS major_items, hedged AS qualified_items, why IS NOT NULL AS stop, coalesce(why, major || ' major items, ' || (n - hedged) || ' unqualified') AS reason, coalesce(place, -1)::BIGINT AS place, coalesce(number, -1) AS number, title, severity, type, qualified, suggestion, full_text
+FROM w LEFT JOIN k ON k.id = w.id
+"""
+
 QUERIES = {
     "q_mentions": (q_mentions, MENTIONS_SQL),
     "q_disagreements": (q_disagreements, DISAGREEMENTS_SQL),
@@ -156,5 +178,5 @@ QUERIES = {
     "q_neighbours": (q_neighbours, NEIGHBOURS_SQL),
     "q_voices": (q_voices, VOICES_SQL),
     "q_review_totals": (q_review_totals, REVIEW_TOTALS_SQL),
-    "q_reviews": (q_reviews, None),
+    "q_reviews": (q_reviews, REVIEWS_SQL),
 }

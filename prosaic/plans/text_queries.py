@@ -192,6 +192,46 @@ n AS (SELECT id, out, list_filter(list_transform(regexp_extract_all(x, '(?m)^\\s
 SELECT id::BIGINT AS id, coalesce(a, -1e0) AS overall, coalesce(b, -1e0) AS lore, CASE WHEN s IS NOT NULL AND r IS NOT NULL THEN s END AS spot, CASE WHEN s IS NOT NULL AND r IS NOT NULL THEN r ELSE -1 END AS raw FROM n
 """
 
+FENCES_SQL = f"""
+WITH r AS (SELECT id, {_strip("coalesce(raw, '')")} AS s FROM {values(probes.REPLIES, ["id", "raw"])})
+SELECT id::BIGINT AS id, CASE WHEN starts_with(s, '```') THEN regexp_replace(regexp_replace(s, '^```[\\p{{L}}\\p{{N}}_]*\\n?', ''), '\\n?```$', '') ELSE s END AS bare FROM r
+"""
+
+ARC_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORDS}') AS w, regexp_extract_all(text, '"([^"]{{20,}})"', 1) AS q FROM d),
+r AS (SELECT doc_id, unnest(q) AS d, unnest(range(len(q))) AS i FROM w), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(d) DESC, i) AS n FROM r),
+k AS (SELECT doc_id, string_agg('> "' || d || '"' || chr(10) || chr(10), '' ORDER BY n) AS quotes FROM n WHERE n <= 3 GROUP BY 1),
+s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {_strip('x')}), lambda x: len(regexp_extract_all(x, '{_WORDS}')) > 2)[1] AS s FROM d)
+SELECT doc_id, '### Chapter ' || doc_id || ' (' || len(w) || ' words)' || chr(10) || '**Summary:** ' || coalesce(s, '') || chr(10) || chr(10) || '**Opening:** ' || array_to_string(w[:150], ' ') || '...' || chr(10) || chr(10)
+  || '**Closing:** ...' || array_to_string(w[greatest(len(w) - 149, 1):], ' ') || chr(10) || chr(10) || '**Key dialogue:**' || chr(10) || coalesce(quotes, '') AS block
+FROM w JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+# without lookahead: the entry ends before the first of its possible ends
+OUTLINES_SQL = f"""
+WITH o AS (SELECT id, outline, n FROM {values(probes.OUTLINES, ["id", "outline"])}, (SELECT unnest([1, 2, 3, 10, 11]) AS n)),
+h AS (SELECT *, regexp_extract(outline, '(?s)### Ch ' || n || ':.*') AS a, regexp_extract(outline, '(?s)### Ch ' || (n + 1) || ':.*') AS b, regexp_extract(outline, '(?s)###\\s*Ch\\s*' || n || '\\b.*') AS l FROM o),
+e AS (SELECT *, split_part(split_part(a, '### Ch ' || (n + 1) || ':', 1), '## Foreshadowing', 1) AS entry, split_part(split_part(b, '### Ch ' || (n + 2) || ':', 1), '## Foreshadowing', 1) AS following,
+  split_part(split_part(regexp_extract(l, '^###\\s*Ch\\s*[0-9]+') || split_part(regexp_replace(regexp_replace(l, '^###\\s*Ch\\s*[0-9]+', ''), '###\\s*Ch\\s*[0-9]', chr(1)), chr(1), 1), '## Act', 1), '## Foreshadowing', 1) AS loose FROM h)
+SELECT id::BIGINT AS id, n::BIGINT AS n, CASE WHEN a <> '' THEN {_strip('entry')} END AS entry, CASE WHEN l <> '' THEN loose END AS loose,
+  CASE WHEN b = '' THEN '(final chapter)' ELSE array_to_string(string_split({_strip('following')}, chr(10))[:10], chr(10)) END AS next FROM e
+"""
+
+LOCATIONS_SQL = f"""
+WITH t AS (SELECT * FROM {values(_WORLD, ["id", "text"])}),
+n AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '\\*\\*([^*]+)\\*\\*\\s*[—–-]', 1) || regexp_extract_all(text, '###\\s+(.+)', 1), lambda x: trim(x)), lambda x: length(x) < 40 AND NOT starts_with(x, 'Note')) AS names,
+  regexp_extract_all(text, 'the ([A-Z][a-z]+ (?:Quarter|District|Tier|Line|Square|Tower|Settlement)s?)', 1) AS p FROM t),
+u AS (SELECT id, names, list_filter(p, lambda x, i: NOT list_contains(names, x) AND list_position(p, x) = i) AS places FROM n)
+SELECT id::BIGINT AS id, array_to_string((names || places)[:15], '|') AS places FROM u
+"""
+
+CANON_SQL = f"""
+WITH t AS (SELECT regexp_replace(text, '(?s)<!--.*?-->', '', 'g') AS text FROM {values(_CANON, ["id", "text"])}),
+s AS (SELECT unnest(string_split(chr(10) || text, chr(10) || '## ')[2:]) AS s FROM t), l AS (SELECT trim(split_part(s, chr(10), 1)) AS category, list_filter(string_split(s, chr(10)), lambda x: starts_with(x, '- ')) AS b FROM s),
+r AS (SELECT category, unnest(b) AS line, unnest(range(len(b))) AS seq FROM l)
+SELECT category, seq::BIGINT AS seq, trim(regexp_replace(substr(line, 3), '\\(([^()]*)\\)\\s*$', '')) AS fact, regexp_extract(line, '\\(([^()]*)\\)\\s*$', 1) AS source FROM r
+"""
+
 QUERIES = {
     "q_titles": (q_titles, TITLES_SQL),
     "q_slices": (q_slices, SLICES_SQL),
@@ -203,12 +243,12 @@ QUERIES = {
     "q_voice_rules": (q_voice_rules, VOICE_RULES_SQL),
     "q_event_props": (q_event_props, EVENT_PROPS_SQL),
     "q_scores": (q_scores, SCORES_SQL),
-    "q_fences": (q_fences, None),
+    "q_fences": (q_fences, FENCES_SQL),
     "q_latex": (q_latex, None),
-    "q_arc_summary": (q_arc_summary, None),
-    "q_outlines": (q_outlines, None),
-    "q_locations": (q_locations, None),
-    "q_canon": (q_canon, None),
+    "q_arc_summary": (q_arc_summary, ARC_SQL),
+    "q_outlines": (q_outlines, OUTLINES_SQL),
+    "q_locations": (q_locations, LOCATIONS_SQL),
+    "q_canon": (q_canon, CANON_SQL),
     "q_replies": (q_replies, None),
     "q_scripts": (q_scripts, None),
 }
