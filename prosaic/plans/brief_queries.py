@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosaic.functions import lexicons as L
 from prosaic.functions import text as t
 from prosaic.operators import brief, feedback
 from prosaic.plans import probes
@@ -153,13 +154,61 @@ SELECT chapter::BIGINT AS chapter, {_TITLE} AS title, words::BIGINT AS words, br
 FROM w
 """
 
+_bars = lambda items, wrap="{}": None if not items else "|".join(wrap.format(x) for x in items)
+_EVAL_ROWS = [(n, score, _bars(revs), _bars(pats, "- {}"), _bars(weak, '- "{}"'), _bars(strong, '- "{}"')) for n, _, score, revs, pats, weak, strong in _EVALS]
+_DIM_ROWS = [(n, d, *own[:3]) for n, dims, *_ in _EVALS for d, own in dims.items()]
+(_W_CHAPTER, _W_DIM, _W_TOP, _W_SCORE, _W_PACING, _W_NOTES), = _NOVEL
+_NOTE_ROWS = [(d, x) for d, x in _W_NOTES.items()]
+
+
+def _weak_sql(dims: list[str], need: str) -> str:
+    return f"""weak AS (SELECT * FROM (SELECT *, trunc(try_cast(score AS DOUBLE)) AS k FROM {values(_DIM_ROWS, ["chapter", "dim", "score", "moment", "fix"])}) WHERE k <= 7 AND coalesce({need}, '') <> '' AND dim IN {tuple(dims)}),
+wk AS (SELECT chapter, string_agg(dim || ' (' || score || '/10): ' || moment, '|' ORDER BY list_position({dims}, dim)) AS moments, string_agg(CASE WHEN fix <> '' THEN '[' || dim || '] ' || fix END, '|' ORDER BY list_position({dims}, dim)) AS fixes FROM weak GROUP BY 1),
+ev AS (SELECT chapter, overall::DOUBLE AS overall, revs, pats, weakest, strongest FROM {values(_EVAL_ROWS, ["chapter", "overall", "revs", "pats", "weakest", "strongest"])}),
+c AS (SELECT chapter, text, tight FROM {values([(n, x, tight) for n, x, tight, _ in _CHAPTERS], ["chapter", "text", "tight"])}),
+b AS (SELECT c.*, ev.chapter IS NOT NULL AS has, overall, revs, pats, weakest, strongest, moments, fixes, len(regexp_extract_all(text, '\\S+'))::BIGINT AS words FROM c LEFT JOIN ev ON ev.chapter = c.chapter LEFT JOIN wk ON wk.chapter = c.chapter)"""
+
+
+EVAL_BRIEF_SQL = f"""
+WITH {_weak_sql(brief.CHAPTER_DIMS, "moment")}
+SELECT chapter::BIGINT AS chapter, {_TITLE} AS title, words, words AS target_words, CASE WHEN NOT has THEN 'FIX' WHEN overall <= 5 THEN 'REWRITE' WHEN overall <= 7 THEN 'FIX' ELSE 'POLISH' END AS brief_type,
+  concat_ws('|', CASE WHEN chapter = {_W_CHAPTER} THEN 'This is the novel''s weakest chapter' END, moments, pats, weakest, CASE WHEN regexp_matches('{_W_PACING}', '(?i)\\b(?:Chapter|Ch\\.?)\\s*' || chapter || '\\b') THEN 'Pacing note: {_W_PACING}' END) AS problems,
+  concat_ws('|', fixes, revs, CASE WHEN chapter = {_W_CHAPTER} OR NOT has THEN '[full eval top suggestion] {_W_TOP}' END) AS changes,
+  concat_ws('|', strongest, 'Tightest passage (adversarial edit): "' || nullif(tight, '') || '"') AS keeps
+FROM b
+"""
+
+_FIRST_CUTS = [(n, i, *c) for n, own, *_ in _BRIEF_CUTS for i, c in enumerate([c for c in own if c[1] in ("REDUNDANT", "OVER-EXPLAIN")][:5])]
+AUTO_BRIEF_SQL = f"""
+WITH {SPLIT_SQL}, {_weak_sql(brief.AUTO_DIMS, "fix")},
+g AS (SELECT chapter, string_agg('- ' || question || ': flagged by ' || k || '/' || total || ' readers (' || replace(flagged_by, '|', ', ') || ')', '|' ORDER BY question || ': flagged by ' || k || '/' || total) AS flags FROM split WHERE k < total AND chapter = {_W_CHAPTER} GROUP BY 1),
+said AS (SELECT question, '[' || reader || '] ' || answer AS said FROM panel WHERE regexp_matches(coalesce(answer, ''), '(?i)\\b(?:Chapter|Ch\\.?)\\s*{_W_CHAPTER}\\b')),
+q AS (SELECT {', '.join(f"string_agg(CASE WHEN question = '{x}' THEN {wrap} END, '|' ORDER BY said) AS {x}" for x, wrap in (("worst_scene", "left(said, 400)"), ("momentum_loss", "left(said, 400)"), ("cut_candidate", "left(said, 400)"), ("best_scene", "'Panel best scene mention: ' || left(said, 400)")))} FROM said),
+notes AS (SELECT string_agg(dim || ': ' || note, '|' ORDER BY list_position({brief.NOVEL_DIMS}, dim)) AS notes FROM {values(_NOTE_ROWS, ["dim", "note"])} WHERE regexp_matches(coalesce(note, ''), '(?i)\\b(?:Chapters?|Ch\\.?)\\s*{_W_CHAPTER}\\b')),
+f AS (SELECT chapter, total, fat, verdict FROM {values(_CUT_FACTS, ["chapter", "n", "total", "loose", "fat", "verdict"])}),
+x AS (SELECT chapter, string_agg('"' || left(quote, 150) || '..." — ' || coalesce(reason, '') || CASE WHEN action = 'REWRITE' AND coalesce(rewrite, '') <> '' THEN ' → Rewrite as: ' || rewrite WHEN action = 'CUT' THEN ' → Cut entirely' ELSE '' END, '|' ORDER BY place) AS cuts FROM {values(_FIRST_CUTS, ["chapter", "place", "quote", "type", "reason", "action", "rewrite"])} GROUP BY 1)
+SELECT b.chapter::BIGINT AS chapter, {_TITLE} AS title, words, words AS target_words, 'AUTO-FIX' AS brief_type,
+  concat_ws('|', 'Weakest chapter in the novel (weakest dimension: {_W_DIM})', 'Top suggestion: {_W_TOP}', notes, 'Chapter score: ' || overall, pats, weakest, flags, worst_scene, momentum_loss, cut_candidate,
+    CASE WHEN total > 0 THEN 'Adversarial edit: ' || total || ' cuttable words (' || coalesce(fat, 0) || '% fat). ' || coalesce(verdict, '') END) AS problems,
+  concat_ws('|', fixes, revs, cuts, '[PRIORITY — full eval] {_W_TOP}') AS changes, concat_ws('|', strongest, best_scene, 'Tightest passage (adversarial edit): ' || nullif(tight, '')) AS keeps
+FROM b CROSS JOIN q CROSS JOIN notes LEFT JOIN g ON g.chapter = b.chapter LEFT JOIN f ON f.chapter = b.chapter LEFT JOIN x ON x.chapter = b.chapter WHERE b.chapter = {_W_CHAPTER}
+"""
+
+_RULES = "\n".join(f"- {r}" for r in L.VOICE_RULES).replace("'", "''").replace("\n", "' || chr(10) || '")
+RENDERED_SQL = f"""
+WITH b AS ({PANEL_BRIEF_SQL}), n AS (SELECT *, CASE WHEN changes = '' THEN [] ELSE string_split(changes, '|') END AS each FROM b)
+SELECT chapter, '# Revision Brief: Chapter ' || chapter || ' — ' || title || ' (' || brief_type || ')' || chr(10) || chr(10) || '## PROBLEM' || chr(10) || replace(problems, '|', chr(10)) || chr(10) || chr(10) || '## WHAT TO KEEP' || chr(10) || replace(keeps, '|', chr(10)) || chr(10) || chr(10)
+  || '## WHAT TO CHANGE' || chr(10) || coalesce(array_to_string(list_transform(each, lambda x, i: i || '. ' || x), chr(10)), '') || chr(10) || chr(10) || '## VOICE RULES' || chr(10) || '{_RULES}' || chr(10) || chr(10) || '## TARGET' || chr(10) || '~' || target_words || ' words' || chr(10) AS markdown
+FROM n
+"""
+
 QUERIES = {
     "q_panel_brief_type": (q_panel_brief_type, TYPE_SQL),
     "q_experiment_log": (q_experiment_log, LOG_SQL),
     "q_chapter_files": (q_chapter_files, FILES_SQL),
     "q_panel_brief": (q_panel_brief, PANEL_BRIEF_SQL),
-    "q_eval_brief": (q_eval_brief, None),
+    "q_eval_brief": (q_eval_brief, EVAL_BRIEF_SQL),
     "q_cuts_brief": (q_cuts_brief, CUTS_BRIEF_SQL),
-    "q_auto_brief": (q_auto_brief, None),
-    "q_rendered_brief": (q_rendered_brief, None),
+    "q_auto_brief": (q_auto_brief, AUTO_BRIEF_SQL),
+    "q_rendered_brief": (q_rendered_brief, RENDERED_SQL),
 }
