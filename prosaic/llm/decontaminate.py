@@ -26,7 +26,8 @@ from prosaic.llm.fm_index import FMIndex
 from prosaic.llm.scratch import bounded_batches
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+#: Of phrases in one pass: their windows take about ten times as much in each worker.
+BLOCK_BYTES = 4 << 20
 _OWN = {"_words": T.LongType(), "_spans": T.ArrayType(T.LongType()), "_items": T.ArrayType(T.StringType())}
 
 
@@ -82,13 +83,16 @@ class Phrases:
         inner[head + length] = False
         text[inner] = code[source[inner]]
         index = FMIndex(text, barrier + 1)
+        present = np.zeros(barrier + 1, bool)
+        present[text] = True
         delta, docs, items = np.zeros(len(hashes) + 1, np.int64), [], []
         for width, rows, owner, first_owner in self.windows:
-            low, high = index.search(rows)
+            asked = np.flatnonzero(present[rows].all(1))  # a window with a word that the shard lacks can't occur
+            low, high = index.search(rows[asked])
             count = high - low
             if not count.any():
                 continue
-            which = np.repeat(np.arange(len(rows)), count)
+            which = np.repeat(asked, count)
             suffix = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             position = source[index.locate(suffix)]
             np.add.at(delta, position, 1)
