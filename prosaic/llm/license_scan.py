@@ -4,6 +4,12 @@ The units compared are every line, every paragraph (lines between blank ones)
 and the whole text. A unit of n bigrams can reach the threshold t with a
 template of m only if n lies between t/(2-t) m and (2-t)/t m; that and the
 absence of any template's bigram prune nearly all units before sets are made.
+
+Besides, a licence anywhere in a text is found as a run: neighbouring sentences
+or lines, of at most (2-t)/t times the template's bigrams with repeats. A run
+that reaches t holds at least t/(2-t) m of the template's bigrams, so places
+where these don't stand that close are passed over. Of runs that share half of
+their length with a better match only that match is given.
 """
 
 from __future__ import annotations
@@ -20,7 +26,18 @@ from prosaic.llm.scratch import bounded_batches
 
 THRESHOLD = 0.8
 
-#: Notices by which texts name their licence, and two short licences in full.
+_NO_WARRANTY = "This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+_BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Notices by which texts name their licence, the usual headers, and short licences in full.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -41,6 +58,59 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        + _NO_WARRANTY.format("program")
+        + "See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        + _NO_WARRANTY.format("program")
+        + "See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        + _NO_WARRANTY.format("program")
+        + "See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        + _NO_WARRANTY.format("library")
+        + "See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        + _NO_WARRANTY.format("program")
+        + "See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    ("BSD-2-Clause", _BSD_TERMS + _BSD_DISCLAIMER),
+    (
+        "BSD-3-Clause",
+        _BSD_TERMS + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_DISCLAIMER,
+    ),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
@@ -59,7 +129,8 @@ class Templates:
 
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
         body, at = bytewords.utf8(pa.array([t for _, t in templates], pa.string()))
-        values, begin = bytewords.distinct(*bytewords.shingles(*bytewords.words(body, at), 2))
+        grams, first = bytewords.shingles(*bytewords.words(body, at), 2)
+        values, begin = bytewords.distinct(grams, first)
         self.names, self.threshold = [n for n, _ in templates], threshold
         self.sets = [values[a:b] for a, b in zip(begin, begin[1:])]
         size = np.array([len(s) for s in self.sets])
@@ -67,6 +138,8 @@ class Templates:
         self.least = np.ceil(threshold / (2 - threshold) * size - 1e-9)
         self.most = np.floor((2 - threshold) / threshold * size + 1e-9)
         self.known = np.unique(values)
+        self.longest = np.floor((2 - threshold) / threshold * np.diff(first) + 1e-9).astype(np.int64)
+        self.of = np.array([np.isin(self.known, x) for x in self.sets])
 
     def compare(self, body: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
         """(unit, template, Dice): each unit's best template, the first of equal ones, if it reaches the threshold."""
@@ -91,6 +164,64 @@ class Templates:
                 out.append((u, best[1], best[0]))
         return out
 
+    def runs(self, body: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """(text, start, end, template, Dice) of runs that reach the threshold, in bytes: for each template and start the best."""
+        grams, begin = bytewords.shingles(*bytewords.words(body, at), 2)
+        if not len(grams) or not len(self.known):
+            return []
+        place = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[place] == grams)
+        place, text = place[hit], np.searchsorted(begin, hit, "right") - 1
+        near: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for t, need in enumerate(self.least.astype(np.int64).tolist()):
+            own = self.of[t][place]
+            p, d = hit[own], text[own]
+            if not 0 < need <= len(p):
+                continue
+            last = need - 1
+            dense = np.flatnonzero((p[last:] - p[: len(p) - last] < self.longest[t]) & (d[last:] == d[: len(d) - last]))
+            docs, first = np.unique(d[dense], return_index=True)
+            for doc, places in zip(docs.tolist(), np.split(p[dense], first[1:])):
+                near.setdefault(doc, []).append((t, places - begin[doc]))
+        out = []
+        for doc in sorted(near):
+            own, a = grams[begin[doc] : begin[doc + 1]], int(at[doc])
+            start, end, opens, closes = _bounds(body[a : at[doc + 1]])
+            if len(start) < 2:
+                continue
+            _, same = np.unique(own, return_inverse=True)
+            order = np.argsort(same, kind="stable")
+            before = np.full(len(own), -1)
+            before[order[1:]] = np.where(same[order[1:]] == same[order[:-1]], order[:-1], -1)
+            for t, p in near[doc]:
+                # a run that holds a dense place starts at most its length before that place's first bigram
+                edges = np.flatnonzero(opens[:-1])
+                k = np.searchsorted(p, edges)
+                edges = edges[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] - edges < self.longest[t])]
+                shared = np.isin(own, self.sets[t], kind="sort")
+                for i in edges.tolist():
+                    j = min(i + int(self.longest[t]), len(own))
+                    first = before[i:j] < i
+                    stops = np.flatnonzero(closes[i + 1 : j + 1])
+                    if not len(stops):
+                        continue
+                    dice = 2 * np.cumsum(first & shared[i:j])[stops] / (np.cumsum(first)[stops] + self.size[t])
+                    best = int(dice.argmax())
+                    if dice[best] >= self.threshold - 1e-12:
+                        out.append((doc, a + int(start[i]), a + int(end[i + int(stops[best]) + 1]), t, float(dice[best])))
+        return out
+
+
+def _bounds(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of a text: first byte, last byte + 1, whether it begins a sentence or line, and whether it ends one."""
+    inside = np.concatenate([[False], bytewords.WORD_BYTE[body], [False]])
+    start, end = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    space = np.append((body == 32) | ((body >= 9) & (body <= 13)), True)
+    stop = np.isin(body, [33, 46, 58, 59, 63]) & (space[1:] | np.append(np.isin(body[1:], [34, 39, 41]), False))
+    cut = np.concatenate([[0], np.cumsum(stop | (body == 10))])
+    closes = np.append(cut[start[1:]] > cut[end[:-1]], True) if len(start) else np.zeros(0, bool)
+    return start, end, np.concatenate([[True], closes[:-1]]) if len(start) else closes, closes
+
 
 def _units(body: np.ndarray, at: np.ndarray) -> list[tuple[str, np.ndarray]]:
     """Where lines, paragraphs and texts begin."""
@@ -104,7 +235,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row per row of docs: id, n_licenses, licenses (name by name, distinct), best_dice, matches.
 
     matches: licence, unit kind, start and end in code points, Dice; one for each unit
-    that reaches the threshold. A line that is a whole paragraph or text counts once. Null
+    that reaches the threshold, and for each run ("run", from its first word to its
+    last) that no better match covers by half. A line that is a whole paragraph or text counts once. Null
     and empty texts have none, and best_dice 0. Null ids and repeated rows are passed
     through; an empty table gives an empty table; other columns are not read.
     """
@@ -122,7 +254,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 part, edge = body[at[i] : at[j]], at[i : j + 1] - at[i]
                 if not len(part):
                     continue
+                chars = lambda x, y, part=part: int(((part[x:y] & 0xC0) != 0x80).sum())
                 seen: set[tuple[int, int, str]] = set()
+                covered: dict[int, list[tuple[int, int, float]]] = {}
                 for unit, begin in _units(part, edge):
                     for u, t, dice in known.compare(part, begin):
                         a, b = int(begin[u]), int(begin[u + 1])
@@ -130,9 +264,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                         if (a, b, known.names[t]) in seen:  # a line that is a whole paragraph or text
                             continue
                         seen.add((a, b, known.names[t]))
-                        chars = lambda x, y: int(((part[x:y] & 0xC0) != 0x80).sum())
+                        covered.setdefault(doc, []).append((a, b, dice))
                         start = chars(int(edge[doc]), a)
                         found[i + doc].append({"license": known.names[t], "unit": unit, "start": start, "end": start + chars(a, b), "dice": dice})
+                for doc, a, b, t, dice in sorted(known.runs(part, edge), key=lambda r: (r[0], -r[4], r[1], r[2], r[3])):
+                    better = covered.setdefault(doc, [])
+                    if any(d >= dice and 2 * (min(b, y) - max(a, x)) >= b - a for x, y, d in better):
+                        continue
+                    better.append((a, b, dice))
+                    start = chars(int(edge[doc]), a)
+                    found[i + doc].append({"license": known.names[t], "unit": "run", "start": start, "end": start + chars(a, b), "dice": dice})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(match))], names=["id", "matches"])
 
     out = rows.mapInArrow(run, f"id {kind}, matches array<struct<license:string,unit:string,start:bigint,end:bigint,dice:double>>")

@@ -1,4 +1,5 @@
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -150,3 +151,24 @@ def test_held_out_accuracy(spark, sf_dir):
     rest = language_id.identify_documents(docs.filter("doc_id % 2 = 1").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}), model)
     joined = rest.join(docs.select("doc_id", F.col("lang").alias("real")), "doc_id").filter("n_trigrams > 20")
     assert joined.filter("language = real").count() >= 0.98 * joined.count()
+
+
+def test_licences_inside_longer_texts(spark):
+    full = {n: t for n, t in license_scan.TEMPLATES}  # the last of each name
+    mit, bsd = full["MIT"], full["BSD-3-Clause"]
+    for cut in (" The above copyright notice and", " THE SOFTWARE IS PROVIDED"):
+        mit = mit.replace(cut, "\n\n" + cut.strip())
+    code = "\n".join(f"def step_{i}(value_{i}): return other_{i}(value_{i}, {i})" for i in range(60))
+    gpl = "\n".join("# " + line for line in textwrap.wrap(full["GPL-3.0"], 60))
+    rows = [
+        (1, f"The MIT License\n\nCopyright (c) 2020 Someone é\n\n{mit}\n\n{code}", "MIT"),
+        (2, f"{code}\n{code}\n/*\n * " + "\n * ".join(textwrap.wrap(bsd, 70)) + f"\n */\n{code}", "BSD-3-Clause"),
+        (3, f"#!/bin/sh\n{gpl}\n\n{code}", "GPL-3.0"),
+        (4, "Copyright 2020 Someone. Released under the MIT License. All other rights are with the makers of this very long line of words.", "MIT"),
+        (5, f"{code}\n{full['BSD-2-Clause']}\n{code}\n{full['Zlib']}\n{code}", "BSD-2-Clause,Zlib"),
+        (6, code, ""),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {k: names for k, _, names in rows}
+    m = got[1].matches[0]
+    assert m.unit == "run" and m.dice > 0.99 and rows[0][1][m.start : m.end] == mit.rstrip(".") and len(got[1].matches) == 1
