@@ -70,6 +70,20 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
     assert max(sizes.values()) < 1.05 * min(sizes.values())
 
 
+@pytest.mark.parametrize("shares, cut", [((0.7, 0.7, 0.7), 0), ((2.67, 0.9), 1), ((0.7,) * 11, 3), ((1.6, 1.6, 0.35, 0.35), 2)])
+def test_shards_are_even_beside_heavy_groups(spark, shares, cut):
+    share = 100_000
+    rows = [(g, f"group {g:02} " + "x" * 90) for g, n in enumerate(shares) for _ in range(round(n * share / 100))]
+    rows += [(0, f"light {i:06} " + "y" * (i % 83)) for i in range(round((8 - sum(shares)) * share / 55.5))]
+    frame = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    sizes, out = check_shards(frame)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.01 * min(sizes.values())
+    by = defaultdict(set)
+    for r in out:
+        by[r.text_crc32].add(r.shard)
+    assert sum(len(s) > 1 for s in by.values()) == cut
+
+
 def test_odd_shards(odd, empty, spark):
     check_shards(odd.select("doc_id", "text"))
     assert histogram_shard.shard(odd).count() == odd.count() and histogram_shard.shard(empty).count() == 0
