@@ -1,6 +1,7 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-The units compared are every line, every paragraph (lines between blank ones)
+The units compared are every line, every paragraph (lines between ones of
+nothing but white space)
 and the whole text. A unit of n bigrams can reach the threshold t with a
 template of m only if n lies between t/(2-t) m and (2-t)/t m; that and the
 absence of any template's bigram prune nearly all units before sets are made.
@@ -227,7 +228,8 @@ def _units(body: np.ndarray, at: np.ndarray) -> list[tuple[str, np.ndarray]]:
     """Where lines, paragraphs and texts begin."""
     line_end = np.flatnonzero(body == 10) + 1
     lines = np.union1d(at, line_end)
-    blank = lines[:-1][(np.diff(lines) == 1) & (body[lines[:-1]] == 10)]
+    marks = np.concatenate([[0], np.cumsum((body != 9) & (body != 10) & (body != 13) & (body != 32))])
+    blank = lines[:-1][(np.diff(marks[lines]) == 0) & (body[lines[1:] - 1] == 10)]
     return [("line", lines), ("paragraph", np.union1d(at, blank)), ("text", np.unique(at))]
 
 

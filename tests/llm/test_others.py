@@ -186,3 +186,13 @@ def test_licences_inside_longer_texts(spark):
     assert {k: r.licenses for k, r in got.items()} == {k: names for k, _, names in rows}
     m = got[1].matches[0]
     assert m.unit == "run" and m.dice > 0.99 and rows[0][1][m.start : m.end] == mit.rstrip(".") and len(got[1].matches) == 1
+
+
+def test_licence_paragraphs_between_lines_of_white_space(spark):
+    mit = license_scan.TEMPLATES[-1][1].replace(", ", ",\n")
+    text = f"before\n\n{mit}\n\nafter"
+    rows = [(1, text.replace("\n", "\r\n")), (2, text.replace("\n\n", "\n \t\n")), (3, text)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3
+    for r in got:
+        assert [(m.license, m.unit) for m in r.matches] == [("MIT", "paragraph"), ("MIT", "text")] and r.best_dice == 1.0
