@@ -76,7 +76,7 @@ _MARKS = (U64(0xA5A5A5A5A5A5A5A5), U64(0x3C3C3C3C3C3C3C3C))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, two digests of the shingle set, its size, sketch (TOKENS 32-bit numbers) and the low byte of each."""
+    """id, text, its hash -> id, the hash, two digests of the shingle set, its size, sketch (TOKENS 32-bit numbers) and the low byte of each."""
     for batch in batches:
         body, at = bytewords.utf8(batch.column(1))
         one, two, size, sketch, short = [], [], [], [], []
@@ -98,7 +98,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch += [row.tobytes() for row in least]
             short += [row.tobytes() for row in least.astype(np.uint8)]
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two, size)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in flat), pa.array(sketch, pa.binary()), pa.array(short, pa.binary())], names=["id", "d1", "d2", "size", "sketch", "short"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in flat), pa.array(sketch, pa.binary()), pa.array(short, pa.binary())], names=["id", "hash", "d1", "d2", "size", "sketch", "short"])
 
 
 def _tokens(sketches: pa.Array, kind: type = np.uint32) -> np.ndarray:
@@ -324,14 +324,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     not a text are told apart by their sets. An empty table gives an empty table.
     Other columns are not read.
     """
+    return _classed(docs, threshold, recall, id_col, text_col).drop("hash", "class_hash")
+
+
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """join() with the hash of each row's text, and the least hash among the class's texts of its smallest id."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    sets = scratch.save(rows.mapInArrow(_sketches, f"id {kind}, d1 bigint, d2 bigint, size bigint, sketch binary, short binary"), "sets")
+    sets = scratch.save(rows.withColumn("hash", F.xxhash64("text")).mapInArrow(_sketches, f"id {kind}, hash bigint, d1 bigint, d2 bigint, size bigint, sketch binary, short binary"), "sets")
     real = sets.filter("size > 0 and id is not null")
-    groups = real.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
+    groups = real.groupBy("d1", "d2").agg(F.min(F.struct("id", "hash")).alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
+    groups = groups.select("d1", "d2", "least.*", "copies", "sketch", "short")
     groups = scratch.save(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
     links = candidates(groups, scratch, threshold, recall)
     found = components(links, scratch, "candidate")
@@ -356,14 +362,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     compared = scratch.save(dealt.groupBy("lot").applyInPandas(_exact(threshold), "gid bigint, n bigint, link bigint"), "compared")
     counts = compared.groupBy("gid").agg(F.sum("n").alias("n_links"))
     true = components(compared.filter("gid <> link").select(F.col("gid").alias("a"), F.col("link").alias("b")), scratch, "true")
-    classes = true.withColumnRenamed("node", "gid").join(groups.select("gid", "id"), "gid")
-    least = classes.groupBy("root").agg(F.min("id").alias("class_id"))
-    classed = classes.join(least, "root").select("gid", "class_id").join(counts, "gid")
-    final = groups.select("gid", "d1", "d2", "id", "copies").join(_small(scratch.save(classed, "classed")), "gid", "left")
-    final = final.select("d1", "d2", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    told = sets.select("id", "d1", "d2", "size", (F.col("size") > 0).alias("real")).withColumn("real", F.col("real") & F.col("id").isNotNull())
-    out = told.filter("real").join(final, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "copies", F.col("size").alias("set_size"))
-    alone = told.filter("not real").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.col("size").alias("set_size"))
+    classes = true.withColumnRenamed("node", "gid").join(groups.select("gid", "id", "hash"), "gid")
+    least = classes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least")).select("root", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"))
+    classed = classes.join(least, "root").select("gid", "class_id", "class_hash").join(counts, "gid")
+    final = groups.select("gid", "d1", "d2", "id", "hash", "copies").join(_small(scratch.save(classed, "classed")), "gid", "left")
+    final = final.select("d1", "d2", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_hash", "hash").alias("class_hash"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = sets.select("id", "hash", "d1", "d2", "size", (F.col("size") > 0).alias("real")).withColumn("real", F.col("real") & F.col("id").isNotNull())
+    out = told.filter("real").join(final, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "copies", F.col("size").alias("set_size"), "hash", "class_hash")
+    alone = told.filter("not real").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.col("size").alias("set_size"), "hash", F.col("hash").alias("class_hash"))
     return out.unionByName(alone)
 
 
@@ -371,18 +377,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with one row of each class, the one of the smallest id; all columns stay.
 
     Rows without words or without an id are kept. Of repeated rows of the id that
-    stays, one is kept.
+    stays, one is kept; of different texts that share that id, the one of the least hash.
     """
     scratch = Scratch(docs.sparkSession, "jaccard-keep")
-    found = scratch.save(join(docs, id_col=id_col, text_col=text_col, **options).select(id_col, "class_id", "copies", "set_size"), "found")
-    gone = found.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    kept = docs.join(_small(gone), id_col, "left_anti")
-    twice = scratch.save(found.filter("copies > 1 and set_size > 0").filter(F.col(id_col) == F.col("class_id")).groupBy(id_col).count().filter("count > 1").select(id_col), "twice")
+    key = [id_col, "__text_hash"]
+    found = _classed(docs, id_col=id_col, text_col=text_col, **options).withColumn("own", (F.col(id_col) == F.col("class_id")) & (F.col("hash") == F.col("class_hash")))
+    found = scratch.save(found.select(id_col, F.col("hash").alias(key[1]), "own", "copies", "set_size"), "found")
+    gone = found.filter("not own").select(key).distinct()
+    kept = docs.withColumn(key[1], F.xxhash64(text_col)).join(_small(gone), key, "left_anti")
+    twice = scratch.save(found.filter("copies > 1 and set_size > 0").filter("own").groupBy(key).count().filter("count > 1").select(key), "twice")
     if twice.isEmpty():
         return kept.select(docs.columns)
     twice = _small(twice)
-    once = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(twice, id_col, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    once = kept.join(twice, key, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, key, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,14 @@ def test_ids_that_share_different_texts(spark):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
 
 
+def test_one_row_of_each_class_stays_where_ids_are_reused(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c + " more"), (3, c.upper()), (4, c + " more"), (5, b + " more"), (5, c)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(k for k in kept if k[0] < 3) == [(1, a), (2, b)]
+    assert len(kept) == 3 and [k[0] for k in kept if k[0] > 2] == [3]
+
+
 def test_runs_meet_the_recall():
     assert jaccard_join.runs_needed(0.99, 1.25, 1) == 4
     assert jaccard_join.runs_needed(jaccard_join.RECALL, jaccard_join.BRANCHING, jaccard_join.DEPTH) >= 10
