@@ -7,8 +7,9 @@ grouped sums of the texts' own posteriors, smoothed towards the registered
 domain, that towards the address suffix, and that towards all rows; a row's own
 posterior is taken out of its host's sums.
 
-The trigram models are fitted on a bounded sample of labelled rows
-(``sample_rows``); host statistics cover all rows.
+The trigram models are fitted on a bounded sample of labelled texts
+(``sample_rows``), an equal quota of each language that any row is labelled
+with; host statistics cover all rows.
 """
 
 from __future__ import annotations
@@ -88,11 +89,18 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits trigram models on about sample_rows rows with a text and a label, drawn by a hash of the text."""
+    """Fits trigram models on about sample_rows different texts with a label, an equal quota of each language.
+
+    Every label with a trigram in some text gets a model; a language of fewer texts than its quota
+    gives them all. Texts are drawn by their hash, and copies count once.
+    """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    total = max(1, rows.count())
-    share = min(1.0, sample_rows / total)
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    texts = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    quota = -(-sample_rows // max(1, len(texts)))
+    bounds = [x for lang, n in texts.items() for x in (F.lit(lang), F.lit(-(-quota * (1 << 30) // max(n, quota))))]
+    drawn = rows.filter(F.pmod("hash", F.lit(1 << 30)) < F.element_at(F.create_map(*bounds), F.col("lang"))) if texts else rows
+    sample = drawn.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

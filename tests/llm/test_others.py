@@ -3,6 +3,7 @@ import textwrap
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,12 @@ def test_licence_paragraphs_between_lines_of_white_space(spark):
     assert len(got) == 3
     for r in got:
         assert [(m.license, m.unit) for m in r.matches] == [("MIT", "paragraph"), ("MIT", "text")] and r.best_dice == 1.0
+
+
+def test_rare_languages_are_fitted_and_copies_count_once(spark):
+    rows = [(f"the text {i} of them", "en") for i in range(3000)] + [("der eine text", "de")] * 3000 + [(f"le texte {i}", "fr") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4), sample_rows=60)
+    assert model.languages == ["de", "en", "fr"]
+    # trigrams counted in each language: the least probability is that of none, smoothed to a half
+    seen = [round(float((np.exp(row - row.min()) * 0.5 - 0.5).sum())) for row in model.log]
+    assert seen[0] < 12 and seen[2] < 40 and 5 * 10 < seen[1] < 60 * 20
