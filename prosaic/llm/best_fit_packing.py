@@ -18,6 +18,7 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces in one partition.
 PART = 50_000
-ROUNDS = 6
+#: Most rounds of exchange; None goes on until one of the stops above.
+ROUNDS = None
 #: How byte-level vocabularies of this family split texts (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONGEST_RUN = 20_000
@@ -161,7 +163,7 @@ def _round(rows: DataFrame, number: int, parts: int, capacity: int) -> DataFrame
         lengths = frame["length"].to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
         met = len(room) == lower_bound(lengths, capacity)
-        first = (number + 1) * (1 << 56) + int(frame["part"].iloc[0]) * (1 << 24)
+        first = (number + 1) * (1 << 50) + int(frame["part"].iloc[0]) * (1 << 24)
         return frame.assign(sequence_id=first + bins, offset=offsets, closed=(room[bins] == 0) | met)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
@@ -174,7 +176,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done = [cut.filter(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})]
     rest = cut.filter(F.col("length") < capacity)
     bins = None
-    for number in range(ROUNDS):
+    for number in count() if ROUNDS is None else range(ROUNDS):
         n = rest.count()
         if not n:
             break

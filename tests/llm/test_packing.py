@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from prosaic.llm import best_fit_packing as packing
 
@@ -73,3 +74,19 @@ def test_exchange_saves_bins(spark, monkeypatch):
     assert len(many) == len(once) == 4000 and many["id"].nunique() == 4000
     assert many["sequence_id"].nunique() <= once["sequence_id"].nunique()
     assert many.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
+def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 0, 0, 500, i) for i in range(20)], "id long, piece int, start long, length long, ids_crc32 long")
+    done = []
+
+    def saves_one_bin(rest, number, parts, capacity):
+        done.append(number)
+        made = 20 - min(number, 9)
+        bins = F.least(F.col("id"), F.lit(made - 1))
+        return rest.select(*rows.columns, bins.alias("sequence_id"), F.when(F.col("id") < made, 0).otherwise(500).cast("long").alias("offset"), F.lit(False).alias("closed"))
+
+    monkeypatch.setattr(packing, "PART", 1)
+    monkeypatch.setattr(packing, "_round", saves_one_bin)
+    out = packing.pack(rows)
+    assert done == list(range(11)) and out.count() == 20 and out.select("sequence_id").distinct().count() == 11
