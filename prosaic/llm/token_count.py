@@ -12,11 +12,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,19 +105,27 @@ class _Memory(dict):
 
 
 class Counter:
-    """Counts as the library does for a lower-casing word BPE file: its normalisation, splitting and special strings."""
+    """Counts as the library does for a lower-casing word BPE file: its normalisation, splitting and special strings.
+
+    Which characters are letters, and how they are composed and lower-cased, depends
+    on the version of Unicode that the library was built with. Texts beyond Latin-1
+    are therefore normalised and split by the library itself; the merging is done here.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
         self.memory = _Memory(PairMerger(model["vocab"], model["merges"], model["end_of_word_suffix"] or ""))
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
-        self.any = regex.compile(pattern)
-        # the same for Latin-1 texts, in a faster library without classes of Unicode
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        self.split = pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str
+        # Latin-1 doesn't change with the version of Unicode, and has nothing to compose
         letters, numbers, spaces = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\x09-\x0d \x85\xa0"
         latin = pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
-        self.latin = re.compile(latin.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]"))
+        self.latin = re.compile(latin.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]"))
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special)) if special else None
 
@@ -128,8 +134,7 @@ class Counter:
             text.encode("latin-1")
             words = self.latin.findall(text.lower())
         except UnicodeEncodeError:
-            # the library lower-cases letter by letter, so a final sigma isn't special
-            words = self.any.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            words = [word for word, _ in self.split(self.normalise(text))]
         return sum(map(self.memory.__getitem__, words))
 
     def count(self, text: str) -> int:

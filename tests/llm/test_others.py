@@ -33,6 +33,24 @@ def test_token_counts_match_the_library(spark, odd, empty, library):
     assert token_count.counts(odd, PATH).count() == odd.count() and token_count.counts(empty, PATH).count() == 0
 
 
+@pytest.mark.parametrize("context", ["у{}", "ω{}", "{}'s", "1{}1", "!{}"])
+def test_token_counts_match_the_library_on_every_code_point(library, context):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(context.format(c) for c in points[i : i + 32]) for i in range(0, len(points), 32)]
+    counter = token_count.Counter(PATH)
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [counter.count(t) for t in texts] == want
+
+
+def test_token_counts_match_the_library_on_mixed_texts(library):
+    draw = random.Random(8)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    common = [chr(c) for c in range(0x3000)] + list("'s't're 'll 19") * 40 + ["e\u0301", "<|endoftext|>", "<|startoftext|>", "Σ", "İ"] * 20
+    texts = ["".join(draw.choice(points if draw.random() < 0.1 else common) for _ in range(draw.randrange(25))) for _ in range(20_000)]
+    counter = token_count.Counter(PATH)
+    assert [counter.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_merging_is_by_rank_then_place():
     vocabulary = {c: i for i, c in enumerate(token_count.byte_letters())}
     for x in ("ab", "ba", "aba", "aa"):
