@@ -14,6 +14,7 @@ with; host statistics cover all rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,8 +36,18 @@ SMOOTHING = 8.0
 TEMPER, MOST = 0.25, 80.0
 BROADCAST_ROWS = 200_000
 
-#: National suffixes of the languages that are told apart.
-SUFFIX_LANGUAGE = {"uk": "en", "us": "en", "au": "en", "ie": "en", "fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es"}
+#: The language that most pages under a national suffix are in, for suffixes of one main language.
+SUFFIX_LANGUAGE = {
+    **dict.fromkeys(("uk", "us", "au", "ie", "nz"), "en"),
+    **dict.fromkeys(("de", "at", "li"), "de"),
+    **dict.fromkeys(("fr", "mc", "re"), "fr"),
+    **dict.fromkeys(("es", "mx", "ar", "cl", "pe", "uy", "ve", "bo", "ec", "py", "cr", "gt", "hn", "ni", "sv", "pa", "do", "cu"), "es"),
+    **dict.fromkeys(("pt", "br"), "pt"), **dict.fromkeys(("it", "sm", "va"), "it"),
+    "nl": "nl", "pl": "pl", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "cz": "cs", "sk": "sk", "hu": "hu", "ro": "ro", "bg": "bg", "gr": "el",
+    "ru": "ru", "ua": "uk", "tr": "tr", "jp": "ja", "kr": "ko", "cn": "zh", "tw": "zh", "vn": "vi", "th": "th", "id": "id", "ir": "fa", "il": "he",
+}
+#: Labels under which national registries give out names, so that a domain there has three labels (co.uk, com.au, ac.jp).
+REGISTRY_LABELS = ("ac", "asn", "co", "com", "ed", "edu", "gen", "go", "gob", "gouv", "gov", "govt", "ind", "info", "judiciary", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch", "web")
 
 # bytes fall into 64 classes: letters (cases joined), digits, space, marks, and bytes above 127
 _CLASS = np.zeros(256, np.int64)
@@ -135,13 +146,46 @@ def _shares(logs: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _host_sums(model: Model):
+_OPENS = re.compile(r"<(!--|(?:script|style)\b)", re.I | re.A)
+_CLOSES = {"!--": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I | re.A), "style": re.compile(r"</style\s*>", re.I | re.A), "": re.compile(">")}
+_REFERENCE = re.compile(r"&#?[A-Za-z0-9]{1,8};")
+
+
+def shown(html: str) -> str:
+    """What a page shows: a space stands for each script, style, comment, tag and character reference.
+
+    One pass, however broken the page: an end that was looked for in vain isn't
+    looked for again. A script, style or comment that never ends counts as a tag,
+    and a tag that never ends as text.
+    """
+    out, at, missing = [], 0, set()
+    while (k := html.find("<", at)) >= 0:
+        opened = _OPENS.match(html, k)
+        kind, start, end = opened[1].lower() if opened else "", opened.end() if opened else k + 1, None
+        if kind and kind not in missing:
+            end = _CLOSES[kind].search(html, start)
+            if end is None:
+                missing.add(kind)
+        end = end or _CLOSES[""].search(html, k)
+        if end is None:
+            break  # nothing is closed any more
+        out.append(html[at:k])
+        at = end.end()
+    out.append(html[at:])
+    return _REFERENCE.sub(" ", " ".join(out))
+
+
+def _texts(column: pa.Array, html: bool) -> pa.Array:
+    return pa.array([shown(x or "") for x in column.to_pylist()], pa.large_string()) if html else column
+
+
+def _host_sums(model: Model, html: bool):
     """host, domain, suffix, text -> host, domain, suffix and the sums of the texts' posteriors; one row a host and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(model.languages)
         for batch in batches:
-            logs, number = model.posterior(batch.column(3))
+            logs, number = model.posterior(_texts(batch.column(3), html))
             own = _shares(logs) * (number > 0)[:, None]
             places: dict[tuple, int] = {}
             at = np.array([places.setdefault(k, len(places)) for k in zip(*(batch.column(c).to_pylist() for c in range(3)))], np.int64)
@@ -164,7 +208,7 @@ def _said(languages: list[str], said: list, trust: float) -> np.ndarray:
     return out
 
 
-def _fuse(model: Model, carried: int, text_at: int, keep: float | None):
+def _fuse(model: Model, carried: int, text_at: int, keep: float | None, languages: tuple[str, ...] | None, html: bool):
     """Carried columns, declared, suffix, text (or the carried text), domain prior, host sums -> the carried columns and what was found, or, with keep, only them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +216,7 @@ def _fuse(model: Model, carried: int, text_at: int, keep: float | None):
         names = np.array([*model.languages, None], object)
         for batch in batches:
             columns = batch.columns
-            logs, number = model.posterior(columns[text_at])
+            logs, number = model.posterior(_texts(columns[text_at], html))
             rest = columns[carried:]
             own = _shares(logs) * (number > 0)[:, None]
             domain, sums = (np.array(c.to_pylist(), float).reshape(batch.num_rows, n) for c in rest[-2:])
@@ -181,11 +225,11 @@ def _fuse(model: Model, carried: int, text_at: int, keep: float | None):
             suffix = [SUFFIX_LANGUAGE.get(x) for x in rest[1].to_pylist()]
             found = _shares(np.log(prior) + logs + _said(model.languages, rest[0].to_pylist(), DECLARED_TRUST) + _said(model.languages, suffix, SUFFIX_TRUST))
             sure = found.max(1, initial=0.0)
+            best = names[found.argmax(1)] if n else np.full(batch.num_rows, None)
             if keep is not None:
-                rows = pa.array(sure >= keep)
+                rows = pa.array((sure >= keep) & (True if languages is None else np.isin(best.astype(str), languages)), pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(rows) for c in columns[:carried]], names=[f"c{i}" for i in range(carried)])
                 continue
-            best = names[found.argmax(1)] if n else np.full(batch.num_rows, None)
             by_text = np.where(number > 0, names[logs.argmax(1)], None) if n else np.full(batch.num_rows, None)
             added = [pa.array(best.tolist(), pa.string()), pa.array(sure), pa.array(found.tolist(), pa.list_(pa.float64())), pa.array(by_text.tolist(), pa.string()), pa.array(number)]
             yield pa.RecordBatch.from_arrays([*columns[:carried], *added], names=[f"c{i}" for i in range(carried + len(added))])
@@ -193,7 +237,7 @@ def _fuse(model: Model, carried: int, text_at: int, keep: float | None):
     return run
 
 
-def identify(rows: DataFrame, model: Model, text: Column | None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, carry: tuple[str, ...] = (), carried_text: str | None = None, keep: float | None = None) -> DataFrame:
+def identify(rows: DataFrame, model: Model, text: Column | None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, carry: tuple[str, ...] = (), carried_text: str | None = None, keep: float | None = None, languages: tuple[str, ...] | None = None, html: bool = False) -> DataFrame:
     """carry columns, language, confidence, posterior (by language in order), text_language, n_trigrams.
 
     language is the largest posterior's, the first in alphabetical order of equal
@@ -203,7 +247,9 @@ def identify(rows: DataFrame, model: Model, text: Column | None, declared: Colum
     Repeated rows are scored each; an empty table gives an empty table.
 
     carried_text names the text among the carried columns instead of text. With
-    keep, only the carried columns of rows of at least that confidence come back.
+    keep, only the carried columns of rows of at least that confidence come back, and of
+    those in one of the languages, if any are given. With html, the texts are web pages,
+    of which what they show is scored.
     Texts are scored once for the hosts' priors and once for the rows; only sums of
     hosts are shuffled and saved.
     """
@@ -213,7 +259,11 @@ def identify(rows: DataFrame, model: Model, text: Column | None, declared: Colum
     low = lambda c: F.coalesce(F.lower(c if c is not None else F.lit(None).cast("string")), F.lit(""))
     text = F.col(carried_text) if carried_text else text.cast("string")
     labels = F.split(low(host), r"\.")
-    domain = F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))
+    # the registered domain: two labels, or three under a national registry's own labels
+    second, last = F.coalesce(F.try_element_at(labels, F.lit(-2)), F.lit("")), F.element_at(labels, -1)
+    wide = F.when((F.length(last) == 2) & second.isin(*REGISTRY_LABELS), 3).otherwise(2)
+    width = F.least(wide, F.size(labels))
+    domain = F.concat_ws(".", F.slice(labels, F.size(labels) - width + 1, width))
     sums = [f"s{k}" for k in range(n)]
 
     # soft counts by host, then rolled up to domains, suffixes and all rows: only the first reads the rows
@@ -221,7 +271,7 @@ def identify(rows: DataFrame, model: Model, text: Column | None, declared: Colum
     by = rows.select(low(host).alias("host"), domain.alias("domain"), low(suffix).alias("suffix"), text.alias("text"))
     schema = ", ".join(["host string, domain string, suffix string", *[f"{s} double" for s in sums]])
     again = [F.sum(s).alias(s) for s in sums] or [F.count("*").alias("none")]
-    by_host = scratch.save(by.mapInArrow(_host_sums(model), schema).groupBy("host", "domain", "suffix").agg(*again), "hosts")
+    by_host = scratch.save(by.mapInArrow(_host_sums(model, html), schema).groupBy("host", "domain", "suffix").agg(*again), "hosts")
     whole = by_host.agg(*again).first()
     total = [float(x or 0) + 1.0 for x in whole][:n]
     mass = reduce(lambda a, b: a + b, [F.col(s) for s in sums], F.lit(0.0))
@@ -242,23 +292,32 @@ def identify(rows: DataFrame, model: Model, text: Column | None, declared: Colum
     at = carry.index(carried_text) if carried_text else len(carry) + 2
     found = ("language string", "confidence double", "posterior array<double>", "text_language string", "n_trigrams bigint")
     added = [] if keep is not None else [f"c{len(carry) + i} {f.split()[1]}" for i, f in enumerate(found)]
-    out = known.mapInArrow(_fuse(model, len(carry), at, keep), ", ".join([*kept, *added]))
+    out = known.mapInArrow(_fuse(model, len(carry), at, keep, languages, html), ", ".join([*kept, *added]))
     return out.toDF(*carry, *([] if keep is not None else [f.split()[0] for f in found]))
 
 
-def plain(html: Column) -> Column:
-    """What a page shows: without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_replace(bare, r"&#?[A-Za-z0-9]{1,8};", " ")
+def declared_language(html: Column) -> Column:
+    """The first two or three letters of the html element's lang attribute, or else of a content-language or og:locale entry; null without."""
+
+    def code(within: Column, attribute: str) -> Column:
+        found = F.regexp_extract(within, rf"""(?i)\b{attribute}\s*=\s*["']?([A-Za-z]{{2,3}})""", 1)
+        return F.when(found != "", found)
+
+    # each pattern ends at the next bracket, so that broken pages take no longer than their length
+    entries = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b([^<>]*)"), F.lit(1)), lambda m: F.rlike(m, F.lit("(?i)content-language|og:locale")))
+    return F.coalesce(code(F.regexp_extract(html, r"(?i)<html\b([^<>]*)", 1), "lang"), code(F.get(entries, F.lit(0)), "content"))
 
 
 def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """identify() for web pages: the html element's lang attribute, the address's suffix and host are evidence."""
+    """identify() for web pages: the declared markup language, the address's suffix and host are evidence.
+
+    A null, empty or broken page is scored by what it shows, which may be nothing; an
+    address without a host counts as the empty host.
+    """
     host = F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     host = F.when(host != "", F.regexp_replace(F.lower(host), r"^www\.|\.$", ""))
     suffix = F.regexp_extract(host, r"\.([^.]+)$", 1)
-    said = F.regexp_extract(F.col(html_col), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)
-    return identify(pages, model, plain(F.col(html_col)), F.when(said != "", said), host, F.when(suffix != "", suffix), (id_col,))
+    return identify(pages, model, F.col(html_col), declared_language(F.col(html_col)), host, F.when(suffix != "", suffix), (id_col,), html=True)
 
 
 def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -266,12 +325,13 @@ def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", te
     return identify(docs, model, F.col(text_col), F.col(lang_col), F.col(source_col), None, (id_col,))
 
 
-def keep_identified(docs: DataFrame, model: Model, confidence: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, confidence: float = 0.5, text_col: str = "text", languages: tuple[str, ...] | None = None) -> DataFrame:
     """docs whose text is in a language; all columns stay.
 
-    Rows go whose text has no letter (null and empty texts among them), or whose
-    best language is less likely than `confidence`. Columns lang and source, where
-    there are any, are evidence.
+    Rows go whose text has no letter (null and empty texts among them), whose best
+    language is less likely than `confidence`, or is none of `languages`, if these are
+    given. Columns lang and source, where there are any, are evidence. Repeated rows
+    are kept or dropped alike; an empty table gives an empty table.
     """
     carry = tuple(f"__carry{i}" for i in range(len(docs.columns)))
     renamed = docs.toDF(*carry)
@@ -279,7 +339,7 @@ def keep_identified(docs: DataFrame, model: Model, confidence: float = 0.5, text
     declared = F.col(at["lang"]) if "lang" in at else None
     host = F.col(at["source"]) if "source" in at else None
     texts = renamed.filter(F.coalesce(F.rlike(at[text_col], F.lit(r"\p{L}")), F.lit(False)))
-    return identify(texts, model, None, declared, host, None, carry, carried_text=at[text_col], keep=confidence).toDF(*docs.columns)
+    return identify(texts, model, None, declared, host, None, carry, carried_text=at[text_col], keep=confidence, languages=languages).toDF(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
