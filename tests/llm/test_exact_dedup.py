@@ -71,3 +71,59 @@ def test_screening(spark):
     found = exact_dedup.screen(exact_dedup.group(exact_dedup.digests(new, "doc_id", "text")), snap)
     both = found.join(snap.groups, "sha", "left_semi").count()
     assert both == 100 and found.count() < 110
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"doc-{i:03}", f"text {i % 7}") for i in range(60)] + [(None, "text 1"), (None, "alone"), ("doc-000", "text 0")]
+    check(spark.createDataFrame(rows, "doc_id string, text string").repartition(3))
+    far = [(-(1 << 63), "a"), ((1 << 63) - 1, "a"), (0, "b"), (1, "b"), (2, "c"), (None, "c")]
+    check(spark.createDataFrame(far, "doc_id long, text string"))
+
+
+def brute_ingest(old, new):
+    out = []
+    for key, text in new:
+        here = [k for k, t in old if norm(t) == norm(text)]
+        also = [k for k, t in new if norm(t) == norm(text)]
+        order = lambda ids: sorted(ids, key=lambda k: (k is None, k))
+        out.append((key, order(here or also)[0], len(here) + len(also), not here))
+    return out
+
+
+@pytest.mark.parametrize("old", [[], [(5, "one  row")], [(100 + i, f"t{i % 40}") for i in range(90)] + [(None, "t3"), (7, None)]])
+def test_batches_are_ingested_against_a_stored_snapshot(spark, tmp_path, old):
+    new = [(i, f"t{i}" if i % 3 else " one\trow") for i in range(30, 60)] + [(900, ""), (901, None), (None, "only here")]
+    held, batch = (spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (old, new))
+    exact_dedup.freeze(held, f"file://{tmp_path}/first")
+    snap = exact_dedup.load(spark, f"file://{tmp_path}/first")
+    got = exact_dedup.ingest(batch, snap, held).collect()
+    want = brute_ingest(old, new)
+    assert sorted((repr(r.doc_id), repr(r.keep_id), r.group_size) for r in got) == sorted((repr(k), repr(f), n) for k, f, n, _ in want)
+    seen = {norm(t) for _, t in old}
+    assert len([r for r in got if r.kept]) == len({norm(t) for _, t in new} - seen)
+    # everything is known to the next snapshot, and what stayed still stays
+    after = exact_dedup.merge(snap, batch, f"file://{tmp_path}/second")
+    again = exact_dedup.ingest(batch, after, held.union(batch)).collect()
+    assert not any(r.kept for r in again)
+    assert {(r.text_sha256, r.keep_id) for r in again} == {(r.text_sha256, r.keep_id) for r in got}
+
+
+def test_tasks_that_screen_are_bounded_by_the_batch(spark, monkeypatch):
+    from prosaic.llm.scratch import Scratch
+
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 50)
+    one, many = (spark.createDataFrame([(i, f"t{i}") for i in range(a, b)], "doc_id long, text string") for a, b in ((0, 1), (0, 1000)))
+    snap = exact_dedup.snapshot(exact_dedup.group(exact_dedup.digests(one, "doc_id", "text")), Scratch(spark, "test"), "old")
+    assert snap.shards == 1
+    found = exact_dedup.screen(exact_dedup.group(exact_dedup.digests(many, "doc_id", "text")), snap)
+    assert found.join(snap.groups, "sha", "left_semi").count() == 1 and found.count() < 10
+
+
+def test_batches_whose_digests_collide(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(F, "sha2", lambda c, n: F.lit("ab" * 32))
+    held, batch = (spark.createDataFrame(x, "doc_id long, text string") for x in ([(5, "a"), (6, "b")], [(1, "b"), (2, "c"), (3, "c")]))
+    snap = exact_dedup.freeze(held, f"file://{tmp_path}/snap")
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.ingest(batch, snap, held).collect())
+    assert got == [(1, 6, 2, False), (2, 2, 2, True), (3, 2, 2, False)]
