@@ -11,36 +11,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from prosaic.llm import best_fit_packing, decontaminate, exact_dedup, jaccard_join, language_id
-from prosaic.llm.scratch import Scratch, release
+from prosaic.llm.scratch import Scratch, scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in a language; the trigram models are fitted on a bounded sample of the labelled ones."""
-    release(spark)  # earlier stages have been written
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of equal texts."""
-    release(spark)
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    release(spark)
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more is benchmark text."""
-    release(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1,024 tokens."""
-    release(spark)
     return best_fit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -57,9 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # the stages' own results lie apart from the scratch tables that each stage clears
-    kept = Scratch(spark, "pipeline", held=False)
+    """The rows of the last stage over the table documents.
+
+    Each stage's result is saved; its scratch tables and its predecessor's result are
+    deleted then. The last result stays until ``scratch.release``, for the caller reads it.
+    """
+    docs, kept, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = kept.save(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            docs = kept.save(stage(spark, docs, sf_dir), name)
+        if before:
+            kept.drop(before)
+        before = name
     return docs
