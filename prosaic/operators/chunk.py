@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,39 +34,36 @@ def with_voices(segments: DataFrame, voices: DataFrame, first: str = "seq") -> D
     return joined.withColumn("voice_id", F.coalesce("_own", *[f"_{s}" for s in FALLBACK], "_first")).select(*segments.columns, "voice_id")
 
 
+def _numbers(units: Iterable[tuple[int, int]], most: int) -> Iterator[int]:
+    """For units of (length asked for, length taken up): the number of the chunk that each falls into."""
+    number = full = 0
+    for asked, taken in units:
+        if full and full + asked > most:
+            number, full = number + 1, 0
+        full += taken
+        yield number
+
+
 def chunks_of(segments: list[tuple[str, str]], most: int = MOST_CHARS) -> list[list[tuple[str, str]]]:
     """Chunks of (text, voice) of at most `most` characters of text, except where one sentence alone is longer.
 
-    A longer segment is cut at sentence ends into chunks of its own. Segments that
-    are blank once tags in brackets are taken out are dropped, though they may
-    still have closed the chunk before.
+    Neighbouring segments share chunks. A longer segment shares none: its sentences,
+    a character of space after each, are spread over chunks of its own. Segments that
+    are blank once tags in brackets are taken out ask for room like others, but take
+    none up and are dropped.
     """
     out: list[list[tuple[str, str]]] = []
-    now: list[tuple[str, str]] = []
-    size = 0
-    for text, voice in segments:
-        if len(text) > most:
-            if now:
-                out.append(now)
-                now, size = [], 0
-            part: list[str] = []
-            length = 0
-            for sentence in text.replace(". ", ".\n").split("\n"):
-                if part and length + len(sentence) > most:
-                    out.append([(" ".join(part), voice)])
-                    part, length = [], 0
-                part.append(sentence)
-                length += len(sentence) + 1
-            out.append([(" ".join(part), voice)])
+    for long, run in groupby(segments, lambda x: len(x[0]) > most):
+        if long:
+            for text, voice in run:
+                sentences = re.split(r"(?<=\.) |\n", text)
+                dealt = zip(_numbers(((len(x), len(x) + 1) for x in sentences), most), sentences)
+                out += [[(" ".join(x for _, x in own), voice)] for _, own in groupby(dealt, itemgetter(0))]
             continue
-        if now and size + len(text) > most:
-            out.append(now)
-            now, size = [], 0
-        if re.sub(r"\[.*?\]", "", text).strip():
-            now.append((text, voice))
-            size += len(text)
-    if now:
-        out.append(now)
+        marked = [(segment, bool(re.sub(r"\[.*?\]", "", segment[0]).strip())) for segment in run]
+        dealt = zip(_numbers(((len(x[0]), len(x[0]) if said else 0) for x, said in marked), most), marked)
+        shared = [[x for _, (x, said) in own if said] for _, own in groupby(dealt, itemgetter(0))]
+        out += filter(None, shared)
     return out
 
 

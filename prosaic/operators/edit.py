@@ -24,19 +24,18 @@ def remove_quote(text: str, quote: str, rewrite: str = "") -> tuple[str, str]:
     A quote must occur exactly once; without an exact occurrence white space may
     differ, if the quote has LEAST_QUOTE characters then.
     """
-    n = text.count(quote) if quote else 0
-    if n == 1:
-        return text.replace(quote, rewrite, 1), ""
-    if n > 1:
-        return text, f"ambiguous ({n} matches)"
-    parts = quote.split()
-    if len(" ".join(parts)) < LEAST_QUOTE:
-        return text, "quote too short after normalisation"
-    found = [m.span() for m in re.finditer(r"\s+".join(map(re.escape, parts)), text)]
-    if len(found) != 1:
-        return text, f"ambiguous after ws-norm ({len(found)} matches)" if found else "not found"
-    (a, b), = found
-    return text[:a] + rewrite + text[b:], ""
+    loose = quote.split()
+    searches = [("ambiguous", re.escape(quote)), ("ambiguous after ws-norm", r"\s+".join(map(re.escape, loose)))]
+    for trouble, pattern in searches:
+        if trouble != "ambiguous" and len(" ".join(loose)) < LEAST_QUOTE:
+            return text, "quote too short after normalisation"
+        places = [m.span() for m in re.finditer(pattern, text)] if pattern else []
+        if places:
+            break
+    if len(places) != 1:
+        return text, f"{trouble} ({len(places)} matches)" if places else "not found"
+    begin, end = places[0]
+    return text[:begin] + rewrite + text[end:], ""
 
 
 def eligible(cut: Column, types: list[str] | None) -> Column:

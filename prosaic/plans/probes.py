@@ -52,8 +52,30 @@ SCRIPTS = [
     (2, '```json\n[{"speaker": "ANNA", "text": "Trailing"},\n{"speaker": "BEN", "text": "comma"},\n]\n```'),
     (3, 'Here: {"speaker": "BEN", "text": "Loose \\"one\\""} and {"speaker": "ANNA", "text": "two\\nlines"} end'),
     (4, "nothing of use"),
+    (5, '[\n  {"speaker": "ANNA", "text": "One {brace}, two,]"},\n  {"text": "no order", "speaker": "BEN"},\n  {"speaker": "BEN", "te'),
 ]
 
+#: What is read from REPLIES: id, and the JSON as a judge's, an editor's, a comparer's and a strict reply.
+READ_REPLIES = [
+    (1, *['{"a": "}", "n": 1}'] * 4),
+    (2, *['{"a": {"b": [1, 2]}}'] * 4),
+    (3, '{"k": "v"}', '[1, 2, {"k": "v"}]', '[1, 2, {"k": "v"}]', '{"k": "v"}'),
+    (4, *[None] * 4),
+    (5, *[None] * 4),
+    (6, *['{"line": "one\\ntwo"}'] * 4),
+    (7, *['{"x": "a \\" b {"}'] * 4),
+    (8, *[None] * 4),
+    (9, *[None] * 4),
+    (10, *[None] * 4),
+    (11, *['{"plain": true}'] * 4),
+]
+
+#: What is read from SCRIPTS: id, place, speaker, text.
+READ_SCRIPTS = [
+    (1, 0, "NARRATOR", "It rained."), (1, 1, "ANNA", "Come in."), (2, 0, "ANNA", "Trailing"), (2, 1, "BEN", "comma"),
+    (3, 0, "BEN", 'Loose "one"'), (3, 1, "ANNA", "two\nlines"), (4, None, None, None), (5, 0, "ANNA", "One {brace}, two,]"),
+]
+
 OUTPUTS = [
     (1, "phase: chapter\noverall_score: 7.5\nraw_judge_score: 8\n"),
     (2, "overall_score: N/A\n  overall_score: 7 \nnote: x"),

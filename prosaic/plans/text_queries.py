@@ -232,6 +232,48 @@ r AS (SELECT category, unnest(b) AS line, unnest(range(len(b))) AS seq FROM l)
 SELECT category, seq::BIGINT AS seq, trim(regexp_replace(substr(line, 3), '\\(([^()]*)\\)\\s*$', '')) AS fact, regexp_extract(line, '\\(([^()]*)\\)\\s*$', 1) AS source FROM r
 """
 
+REPLIES_SQL = "SELECT id::BIGINT AS id, judge, editor, pair, strict FROM " + values(probes.READ_REPLIES, ["id", "judge", "editor", "pair", "strict"])
+
+SCRIPTS_SQL = "SELECT id::BIGINT AS id, place::BIGINT AS place, speaker, text FROM " + values(probes.READ_SCRIPTS, ["id", "place", "speaker", "text"])
+
+
+def _latex_line(line: str) -> str:
+    """A line in LaTeX. Neighbours are captured instead of looked at: those of one rule's quotes are never the same character."""
+
+    def sub(x: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+
+    for _ in range(2):  # the second time for italics that touch
+        line = sub(line, r"(^|[^*])\*([^*]+)\*($|[^*])", r"\1\\textit{\2}\3")
+    for a, b in [*[(c, "\\" + c) for c in "&%$#_"], ("—", "---"), ("–", "--"), ("“", "``"), ("”", "''''"), ("‘", "`"), ("’", "''"), ("…", "\\ldots{}")]:
+        line = f"replace({line}, '{a}', '{b}')"
+    w, sp, stop = r"[\p{L}\p{N}_]", f"[{SPACE}]", f"[{SPACE}.,;:!?\\-]"
+    for pattern, to in (
+        (f'({sp})"({w})', r"\1``\2"), (f'^"({w})', r"``\1"), (f'({w})"({stop})', r"\1''''\2"), (f'({w})"$', r"\1''''"), ('([.?!])"', r"\1''''"),
+        (f'({sp})"', r"\1``"), (f'"({sp})', r"''''\1"), ('^"', "``"),
+    ):
+        line = sub(line, pattern, to)
+    return line
+
+
+def _latex(body: str) -> str:
+    lines = f"list_transform(string_split({body}, chr(10)), lambda x: {_strip('x')})"
+    return f"array_to_string(list_transform({lines}, lambda s: CASE WHEN s = '---' THEN chr(10) || '\\scenebreak' || chr(10) WHEN s = '' THEN '' ELSE {_latex_line('s')} END), chr(10))"
+
+
+LATEX_SQL = f"""
+WITH {_MD}, s AS (SELECT id, text, {_strip('text')} AS whole FROM md), l AS (SELECT id, text, {_LINE.replace("text", "whole")} AS title_line, {_strip("regexp_replace(whole, '^[^\\n]*\\n?', '')")} AS body FROM s),
+b AS (SELECT id, {_latex('text')} AS latex, string_split({_latex('body')}, chr(10)) AS lines, CASE WHEN contains(title_line, ': ') AND substr(title_line, strpos(title_line, ': ') + 2) <> '' THEN substr(title_line, strpos(title_line, ': ') + 2)
+  WHEN contains(title_line, ': ') THEN left(title_line, strpos(title_line, ': ') - 1) ELSE title_line END AS title FROM l),
+i AS (SELECT *, list_position(list_transform(lines, lambda x: {_strip('x')} <> ''), true) AS a FROM b),
+j AS (SELECT *, list_position(list_transform(lines, lambda x, i: i >= a AND ({_strip('x')} = '' OR starts_with({_strip('x')}, '\\scenebreak'))), true) AS z FROM i),
+p AS (SELECT *, array_to_string(CASE WHEN a IS NULL THEN [] WHEN z IS NULL THEN lines[a:] ELSE lines[a : z - 1] END, ' ') AS para, array_to_string(CASE WHEN z IS NULL THEN lines[a:] ELSE lines[z:] END, chr(10)) AS rest FROM j),
+w AS (SELECT *, substr(para, 2) AS after, strpos(substr(para, 2), ' ') AS space FROM p)
+SELECT id, latex, '\\chapter{{' || replace(replace(replace(replace(replace(title, '&', '\\&'), '%', '\\%'), '$', '\\$'), '#', '\\#'), '_', '\\_') || '}}' || chr(10) || chr(10) || CASE WHEN length(para) < 2 THEN array_to_string(lines, chr(10))
+  ELSE '\\lettrine[lines=2, lhang=0.1, nindent=0.2em]{{' || left(para, 1) || '}}{{' || CASE WHEN space > 1 THEN left(after, space - 1) ELSE after END || '}}' || CASE WHEN space > 1 THEN substr(after, space) ELSE '' END || chr(10) || chr(10) || rest END || chr(10) AS chapter
+FROM w
+"""
+
 QUERIES = {
     "q_titles": (q_titles, TITLES_SQL),
     "q_slices": (q_slices, SLICES_SQL),
@@ -244,11 +286,11 @@ QUERIES = {
     "q_event_props": (q_event_props, EVENT_PROPS_SQL),
     "q_scores": (q_scores, SCORES_SQL),
     "q_fences": (q_fences, FENCES_SQL),
-    "q_latex": (q_latex, None),
+    "q_latex": (q_latex, LATEX_SQL),
     "q_arc_summary": (q_arc_summary, ARC_SQL),
     "q_outlines": (q_outlines, OUTLINES_SQL),
     "q_locations": (q_locations, LOCATIONS_SQL),
     "q_canon": (q_canon, CANON_SQL),
-    "q_replies": (q_replies, None),
-    "q_scripts": (q_scripts, None),
+    "q_replies": (q_replies, REPLIES_SQL),
+    "q_scripts": (q_scripts, SCRIPTS_SQL),
 }
