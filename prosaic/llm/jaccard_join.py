@@ -14,6 +14,10 @@ Candidate links go into connected components (a superset of the true classes),
 whose texts are then compared exactly: an inverted index over the whole shingle
 sets of a class, in blocks of bounded size for large classes. Equal sets are
 joined beforehand and weighed, and no table of pairs of a group is ever made.
+
+The number of links needs every two blocks of a class compared. Classes alone do
+not: each block is compared within itself and with the class's first set, and only
+sets that are not thereby connected with the first one meet the other blocks.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosaic.llm import bytewords
 from prosaic.llm.bytewords import U64, mix
-from prosaic.llm.components import components
+from prosaic.llm.components import components, hot_limit, join_by_key
 from prosaic.llm.scratch import Scratch, bounded_batches, partitions
 
 WORDS = 5
@@ -41,9 +45,9 @@ BRANCHING = 1.25
 SMALL = 250
 DEPTH = 3
 #: Members of a large bucket whose sketch agrees with its first set's by LINKED are linked with that set, and not split
-#: further from DONE on. Jaccard distance is a metric: a set within 1 - threshold of one that is DONE is within LINKED of
-#: the first, with 0.12 (two standard deviations of a difference of sketches) to spare.
-LINKED, DONE = 0.28, 0.6
+#: further from DONE on. Jaccard distance is a metric: a set within 1 - threshold of one that is DONE agrees with the first
+#: by 0.4 at least, so LINKED has 0.2 (three standard deviations of a difference of two sketches' errors) to spare.
+LINKED, DONE = 0.2, 0.6
 #: Agreement of sketches, in standard deviations below the threshold, from which a pair is compared exactly.
 MARGIN = 4.5
 #: Sets of a class in one block of the exact comparison.
@@ -300,7 +304,7 @@ def _exact(threshold: float):
             sets += [values[a:b] for a, b in zip(begin, begin[1:])]
         digest = np.array([mix(x ^ _MARKS[0]).sum(dtype=U64) for x in sets], U64).view(np.int64)
         # rows that share an id but not the set were fetched by that id; repeated rows count once
-        fits = frame[digest == frame["d1"].to_numpy()].drop_duplicates(["root", "i", "j", "gid"])
+        fits = frame[digest == frame["d1"].to_numpy()].drop_duplicates(["root", "i", "j", "side", "gid"])
         out = []
         for _, own in fits.groupby(["root", "i", "j"], sort=False):
             count, links = compared(own, [sets[k] for k in own.index])
@@ -324,11 +328,62 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     not a text are told apart by their sets. An empty table gives an empty table.
     Other columns are not read.
     """
-    return _classed(docs, threshold, recall, id_col, text_col).drop("hash", "class_hash")
+    return _classed(docs, threshold, recall, id_col, text_col, True).drop("hash", "class_hash")
+
+
+def _compare(rows: DataFrame, sets: DataFrame, members: DataFrame, dealt: list[Column], threshold: float) -> DataFrame:
+    """gid, n, link: exact comparisons among members (gid, id, d1, root, m, ...), whose texts alone are read.
+
+    dealt: for each member, (i, j, side) of every comparison that it takes part in: of all
+    sets if i = j, else of side 0 with side 1.
+    """
+    n = members.count()
+    chosen = F.broadcast(members) if n <= BROADCAST_ROWS else members
+    texts = rows.join(chosen, "id")
+    if sets.select("id").join(F.broadcast(members.select("id")) if n <= BROADCAST_ROWS else members.select("id"), "id").count() > n:  # some ids repeat
+        texts = texts.groupBy(*[c for c in members.columns if c != "id"], F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"))
+    dealt = texts.select("gid", "root", "m", "d1", "text", F.explode(dealt).alias("x")).select("gid", "root", "m", "d1", "text", "x.*")
+    # small classes share a call
+    lot = F.when(F.col("m") > BLOCK, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(-(-n // 200) + 1)))
+    dealt = dealt.withColumn("lot", lot).select("lot", "root", "i", "j", "side", "gid", "d1", "text")
+    return dealt.groupBy("lot").applyInPandas(_exact(threshold), "gid bigint, n bigint, link bigint")
 
 
-def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """join() with the hash of each row's text, and the least hash among the class's texts of its smallest id."""
+def _true_links(rows: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scratch, threshold: float, counted: bool) -> DataFrame:
+    """gid, n, link: links that keep the true classes together and, if counted, the numbers of partners in parts."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("gid"), blocks).cast("int")
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    each = F.sequence(F.lit(0), blocks - 1)
+    if counted:  # a class of k blocks is compared as its pairs of blocks (i <= j): each set goes to k tasks of at most two blocks
+        pairs = F.transform(each, lambda other: task(F.least(own, other), F.greatest(own, other), own > other))
+        return scratch.save(_compare(rows, sets, members, pairs, threshold), "compared")
+    first = F.transform(F.when(F.col("gid") == F.col("root"), each).otherwise(F.array(own)), lambda i: task(i, i, F.lit(False)))
+    found = scratch.save(_compare(rows, sets, members, first, threshold), "compared")
+    large = members.filter(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return found
+    links = found.filter("gid <> link").join(large.select("gid"), "gid", "left_semi").select(F.col("gid").alias("a"), F.col("link").alias("b"))
+    near = components(links, scratch, "near").select(F.col("node").alias("gid"), F.col("root").alias("own_root"))
+    # sets that blocks and first sets did not connect with the class's first set, which has the smallest number
+    apart = scratch.save(large.join(near, "gid", "left").filter("own_root is null or own_root <> root").select("gid", "root"), "apart")
+    number = apart.groupBy("root").agg(F.count("*").alias("r"))
+    if number.isEmpty():
+        return found
+    meeting = join_by_key(large, large.select("root", "m").distinct().join(number, "root").withColumnRenamed("m", "size"), "root", "size", hot_limit(rows.sparkSession, large.count())).drop("size")
+    meeting = scratch.save(meeting.join(apart.select("gid", F.lit(True).alias("late")), "gid", "left"), "meeting")
+    lots = F.ceil(F.col("r") / BLOCK).cast("int")
+    lot = F.pmod(F.xxhash64("gid", F.lit(1)), lots).cast("int")
+    # numbers below 0 stand for blocks of the sets apart, so that i and j differ
+    sides = F.concat(
+        F.transform(F.sequence(F.lit(0), lots - 1), lambda x: task(own, -1 - x, F.lit(False))),
+        F.when(F.col("late"), F.transform(each, lambda i: task(i, -1 - lot, F.lit(True)))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>")),
+    )
+    return found.unionByName(scratch.save(_compare(rows, sets, meeting, sides, threshold), "compared-apart"))
+
+
+def _classed(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str, counted: bool) -> DataFrame:
+    """join() with the hash of each row's text, and the least hash among the class's texts of its smallest id; n_links only if counted, else 0."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
@@ -343,37 +398,23 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     found = components(links, scratch, "candidate")
     members = found.select(F.col("node").alias("gid"), "root")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    members = scratch.save(members.join(sizes, "root").join(groups.select("gid", "id", "d1"), "gid"), "members")
-
-    # whole texts of the members only
-    n = members.count()
-    chosen = F.broadcast(members) if n <= BROADCAST_ROWS else members
-    texts = rows.join(chosen, "id")
-    if sets.select("id").join(chosen, "id").count() > n:  # some ids repeat
-        texts = texts.groupBy("gid", "root", "m", "d1", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("gid"), blocks).cast("int")
-    # a class of k blocks is compared as its pairs of blocks (i <= j): each set goes to k tasks of at most two blocks
-    dealt = texts.withColumn("own", own).select("gid", "root", "m", "d1", "text", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    # small classes share a call
-    lot = F.when(F.col("m") > BLOCK, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(-(-n // 200) + 1)))
-    dealt = dealt.withColumn("lot", lot).select("lot", "root", "i", "j", "side", "gid", "d1", "text")
-    compared = scratch.save(dealt.groupBy("lot").applyInPandas(_exact(threshold), "gid bigint, n bigint, link bigint"), "compared")
+    members = join_by_key(members, sizes, "root", "m", hot_limit(spark, found.count()))
+    members = scratch.save(members.join(groups.select("gid", "id", "d1"), "gid"), "members")
+    compared = _true_links(rows, sets, members, scratch, threshold, counted)
     counts = compared.groupBy("gid").agg(F.sum("n").alias("n_links"))
     true = components(compared.filter("gid <> link").select(F.col("gid").alias("a"), F.col("link").alias("b")), scratch, "true")
     classes = true.withColumnRenamed("node", "gid").join(groups.select("gid", "id", "hash"), "gid")
-    least = classes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least")).select("root", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"))
-    classed = classes.join(least, "root").select("gid", "class_id", "class_hash").join(counts, "gid")
+    least = classes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least"), F.count("*").alias("degree")).select("root", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"), "degree")
+    classed = join_by_key(classes.select("gid", "root"), least, "root", "degree", hot_limit(spark, members.count())).select("gid", "class_id", "class_hash").join(counts, "gid")
     final = groups.select("gid", "d1", "d2", "id", "hash", "copies").join(_small(scratch.save(classed, "classed")), "gid", "left")
-    final = final.select("d1", "d2", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_hash", "hash").alias("class_hash"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final = final.select("d1", "d2", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_hash", "hash").alias("class_hash"), F.coalesce("n_links", F.lit(0)).alias("n_links") if counted else F.lit(0).cast("long").alias("n_links"))
     told = sets.select("id", "hash", "d1", "d2", "size", (F.col("size") > 0).alias("real")).withColumn("real", F.col("real") & F.col("id").isNotNull())
     out = told.filter("real").join(final, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "copies", F.col("size").alias("set_size"), "hash", "class_hash")
     alone = told.filter("not real").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.col("size").alias("set_size"), "hash", F.col("hash").alias("class_hash"))
     return out.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs with one row of each class, the one of the smallest id; all columns stay.
 
     Rows without words or without an id are kept. Of repeated rows of the id that
@@ -381,7 +422,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     scratch = Scratch(docs.sparkSession, "jaccard-keep")
     key = [id_col, "__text_hash"]
-    found = _classed(docs, id_col=id_col, text_col=text_col, **options).withColumn("own", (F.col(id_col) == F.col("class_id")) & (F.col("hash") == F.col("class_hash")))
+    found = _classed(docs, threshold, recall, id_col, text_col, False).withColumn("own", (F.col(id_col) == F.col("class_id")) & (F.col("hash") == F.col("class_hash")))
     found = scratch.save(found.select(id_col, F.col("hash").alias(key[1]), "own", "copies", "set_size"), "found")
     gone = found.filter("not own").select(key).distinct()
     kept = docs.withColumn(key[1], F.xxhash64(text_col)).join(_small(gone), key, "left_anti")

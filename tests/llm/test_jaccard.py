@@ -95,3 +95,67 @@ def test_one_row_of_each_class_stays_where_ids_are_reused(spark):
 def test_runs_meet_the_recall():
     assert jaccard_join.runs_needed(0.99, 1.25, 1) == 4
     assert jaccard_join.runs_needed(jaccard_join.RECALL, jaccard_join.BRANCHING, jaccard_join.DEPTH) >= 10
+
+
+def near_copies(seed, number, swaps):
+    """Texts around one base, so that links lie about the threshold, in buckets larger than the shipped bound."""
+    draw = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(220)]
+    rows = []
+    for k in range(number):
+        own = list(base)
+        for _ in range(int(draw.integers(*swaps))):
+            own[int(draw.integers(len(own)))] = f"new{draw.integers(1 << 40)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_no_link_about_the_threshold_is_lost_in_large_buckets(spark):
+    docs = near_copies(5, 700, (2, 9))
+    s = sets(docs)
+    number = {}
+    matrix = np.zeros((len(docs), 220 * 20), np.float32)
+    for k, own in s.items():
+        for x in own:
+            column = number.setdefault(x, len(number))
+            if column >= matrix.shape[1]:
+                matrix = np.pad(matrix, ((0, 0), (0, matrix.shape[1])))
+            matrix[k, column] = 1
+    common, size = matrix @ matrix.T, matrix.sum(1)
+    likeness = common / (size[:, None] + size[None, :] - common)
+    link = (likeness >= 0.8 - 1e-6) & ~np.eye(len(docs), dtype=bool)
+    narrow = link & (likeness < 0.85)
+    assert narrow.sum() > 2 * 1000 and jaccard_join.SMALL < len(docs)
+    label = np.arange(len(docs))
+    while True:
+        new = np.minimum(label, np.where(link, label[None, :], len(docs)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(frame).collect()}
+    assert got == {k: (int(label[k]), int(link[k].sum())) for k in range(len(docs))}
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(frame).collect()) == sorted(set(label.tolist()))
+
+
+@pytest.mark.parametrize("swaps", [(0, 6), (4, 14)])
+def test_classes_alone_need_not_compare_all_blocks(spark, monkeypatch, swaps):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 15)
+    docs = near_copies(9, 90, swaps) + [(1000 + k, t + " " + t) for k, t in near_copies(10, 40, swaps)]
+    want = brute(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(frame).collect()) == sorted({c for c, _ in want.values()})
+
+
+def test_components_of_hubs_and_paths(spark, monkeypatch):
+    from prosaic.llm import components
+    from prosaic.llm.scratch import Scratch
+
+    edges = [(0, k) for k in range(1, 900)] + [(k, 5000) for k in range(2000, 2700)] + [(k, k + 1) for k in range(3000, 3060)] + [(899, 2000)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r.node: r.root for r in components.components(frame, Scratch(spark, "test"), "c").collect()}
+    want = {k: 0 for e in edges if not 3000 <= e[0] < 3060 for k in e} | {k: 3000 for k in range(3000, 3061)}
+    assert got == want
+    monkeypatch.setattr(components, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components.components(frame, Scratch(spark, "test"), "d")
