@@ -7,8 +7,12 @@ window of the benchmark is then found by backward search, located through the
 sampled suffix positions, and the found spans are merged. Documents are not
 shuffled.
 
-The benchmark is collected in blocks of at most ``block_bytes`` of text; a
-larger one takes several such passes, chained in one stage.
+The benchmark is collected in blocks of at most ``block_bytes`` of text. A larger
+one takes several passes, one after the other: the documents with what was found
+are saved in between, so that neither the driver nor a worker holds two blocks.
+
+Words that no phrase of a block has are left out of that block's index because no
+match can hold them; what is indexed is searched by the index alone.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import types as T
 
 from prosaic.llm import bytewords
 from prosaic.llm.fm_index import FMIndex
-from prosaic.llm.scratch import bounded_batches
+from prosaic.llm.scratch import Scratch, bounded_batches
 
 WINDOW = 13
 #: Of phrases in one pass: their windows take about ten times as much in each worker.
@@ -162,24 +166,26 @@ def _pass(phrases: Phrases, text_at: int, later: bool):
     return run
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list[Phrases]:
-    """The benchmark's windows; each block has about block_bytes of text at most, or one item."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Phrases]:
+    """The benchmark's windows, block by block; each has about block_bytes of text at most, or one item."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
-    out = []
     for k in range(n):
         table = (rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).toArrow()
-        out.append(Phrases(table.column("item").to_pylist(), table.column("text"), window))
-    return out
+        yield Phrases(table.column("item").to_pylist(), table.column("text"), window)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with _words, _spans (first word, end, first word, ...: merged and in order) and _items (sorted) added."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    out = docs
+    out, scratch = docs, Scratch(spark, "decontaminate")
     for k, phrases in enumerate(blocks(benchmark, item_col, item_text_col, window, block_bytes)):
+        if k:
+            out = scratch.save(out, f"block-{k}")  # the pass before is done and its phrases are gone
+            if k > 1:
+                scratch.drop(f"block-{k - 1}")
         fields = [*docs.schema.fields, *[T.StructField(n, t) for n, t in _OWN.items()]]
         names = [f"c{i}" for i in range(len(fields))]  # columns may clash in name; they are passed on by place
         held = [T.StructField(n, f.dataType) for n, f in zip(names, fields)]
@@ -211,7 +217,11 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs without contaminated rows; all columns stay."""
+    """docs without contaminated rows; all columns stay.
+
+    Null and empty texts are clean; repeated rows are judged alike; an empty benchmark
+    or table changes nothing.
+    """
     found = hits(docs, benchmark, text_col, **options).withColumn("n_hit", _hit())
     return found.filter(~_contaminated()).select(docs.columns)
 
