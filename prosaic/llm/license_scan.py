@@ -297,7 +297,7 @@ def oracle_sql() -> str:
     return f"""
 WITH t AS (SELECT nr, name, {grams.format("w")} AS g FROM (SELECT nr, name, {words.format("body")} AS w FROM (VALUES {templates}) v(nr, name, body))),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM d UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\\n\\n+')) FROM d UNION ALL SELECT doc_id, text FROM d),
+u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM d UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\\n(?:[ \\t\\r]*\\n)+')) FROM d UNION ALL SELECT doc_id, text FROM d),
 w AS (SELECT doc_id, {words.format("u")} AS w FROM u),
 g AS (SELECT doc_id, row_number() OVER () AS r, {grams.format("w")} AS g FROM w WHERE len(w) > 0),
 x AS (SELECT r, doc_id, len(g) AS n, unnest(g) AS b FROM g), y AS (SELECT nr, name, len(g) AS m, unnest(g) AS b FROM t),
