@@ -150,14 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession)
     span = 1 << 30
 
-    def drawn(id_: Column, rows: int, salt: int) -> Column:
-        return F.pmod(F.xxhash64(id_, F.lit(salt)), F.lit(span)) < int(min(1.0, fit_rows / max(rows, 1)) * span)
+    def drawn(rows: int, salt: int, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by, F.lit(salt)), F.lit(span)) < int(min(1.0, fit_rows / max(rows, 1)) * span)
 
     good = labels.filter((F.col("quality") == 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
-    good = good.filter(drawn(F.col("_id"), good.count(), 1))  # about fit_rows ids
+    good = good.filter(drawn(good.count(), 1, "_id"))  # about fit_rows ids
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    rows = rows.withColumn("drawn", drawn(F.col("_id"), rows.count(), 2)).join(F.broadcast(good.withColumn("positive", F.lit(True))), "_id", "left")
-    rows = rows.filter("drawn or positive").select("text", F.coalesce("positive", F.lit(False)).alias("positive"), "drawn")
+    rows = rows.join(F.broadcast(good.withColumn("positive", F.lit(True))), "_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    # an id may have very many rows, so rows are drawn too; a row that repeats counts once
+    number = rows.agg(F.count("*").alias("all"), F.count_if("positive").alias("positive")).first()
+    rows = rows.withColumns({"positive": F.col("positive") & drawn(number["positive"], 3, "_id", "text"), "drawn": drawn(number["all"], 2, "_id", "text")}).filter("drawn or positive")
+    rows = rows.groupBy("_id", F.xxhash64("text")).agg(F.first("text").alias("text"), F.first("positive").alias("positive"), F.first("drawn").alias("drawn")).select("text", "positive", "drawn")
     table = rows.mapInArrow(_measured, "positive boolean, drawn boolean, x array<double>").toArrow()
     if not table.num_rows:
         return None, 0.5
