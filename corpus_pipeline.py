@@ -3,6 +3,9 @@
 language ID, exact deduplication, n-gram Jaccard join (one document of a group
 stays), benchmark decontamination, best-fit packing. All stages but the last
 return the columns of ``documents``; the last returns one row per token piece.
+
+Every stage takes tables with nulls in any column, empty and very long texts,
+repeated rows, further columns of any name, and no rows at all.
 """
 
 from __future__ import annotations
@@ -15,27 +18,33 @@ from prosaic.llm.scratch import Scratch, scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are in a language; the trigram models are fitted on a bounded sample of the labelled ones."""
+    """Keeps documents that are in a language; the trigram models are fitted on a bounded sample of the labelled ones.
+
+    Null, empty and letterless texts go. Without any labelled document there is no model, and nothing is kept.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of equal texts."""
+    """Keeps the smallest doc_id of equal texts, a null one last; one of repeated rows stays; a null text equals an empty one."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """Keeps one document of each group of near copies, the smallest doc_id: five-word shingles, similarity 0.8 or more.
+
+    Texts without words and rows without a doc_id are in no group and stay.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more is benchmark text."""
+    """Drops documents of which a twentieth or more is benchmark text; texts without words stay."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1,024 tokens."""
+    """Packs what is left into sequences of 1,024 tokens; an empty or null text is its end token."""
     return best_fit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
