@@ -1,14 +1,16 @@
 """Connected components of an edge table by alternating large-star and small-star steps, all on executors.
 
-A node of many edges would bring them all into one task of a join. Nodes with more
-than a quarter of a partition's share of the edges are few, at most eight a
-partition, each edge having two ends. Their edges stay where they are and the nodes
-are broadcast; all other edges are joined by shuffling.
+A node of many edges, as the smallest of a large component becomes, would bring
+them all into one task of the large-star's join. Nodes with more than a quarter of
+a partition's share of the edges are few, at most eight a partition, each edge
+having two ends. They are counted first; where there are any, their edges stay
+where they are and what is joined is broadcast. All other edges are joined by
+shuffling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosaic.llm.scratch import Scratch, partitions
@@ -16,42 +18,42 @@ from prosaic.llm.scratch import Scratch, partitions
 #: Steps after which something must be wrong: they grow with the logarithm of the longest path.
 MOST_ROUNDS = 60
 #: A node is never called hot for fewer edges than this.
-LEAST_HOT = 200
+LEAST_HOT = 1000
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def hot_limit(spark: SparkSession, rows: int) -> int:
-    """Keys with more rows than this are broadcast; of ``rows`` rows, no more than 4 keys a partition have so many."""
-    return max(LEAST_HOT, rows // (4 * partitions(spark)))
+def _hot(edges: DataFrame, number: int) -> list[int]:
+    """Nodes of so many of the edges that they would burden a task; at most 8 a partition."""
+    limit = max(LEAST_HOT, number // (4 * partitions(edges.sparkSession)))
+    return [r["a"] for r in _both(edges).groupBy("a").count().filter(F.col("count") > limit).select("a").collect()]
 
 
-def join_by_key(rows: DataFrame, values: DataFrame, key: str, degree: str, hot: int) -> DataFrame:
-    """rows with the values of their key (one row a key; degree: how many rows have it); rows of hot keys don't move."""
-    many = F.broadcast(values.filter(F.col(degree) > hot))
-    rest = rows.join(many.select(key), key, "left_anti")
-    return rows.join(many, key).unionByName(rest.join(values.filter(F.col(degree) <= hot), key))
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return edges, edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
-def _with_least(edges: DataFrame, hot: int) -> DataFrame:
-    """edges (a, b) with m: the smallest b of the edge's a."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-    return join_by_key(edges, least, "a", "degree", hot)
-
-
-def _large_star(edges: DataFrame, hot: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot: list[int]) -> DataFrame:
     """Each node's larger neighbours are linked with its smallest neighbour (or itself)."""
-    found = _with_least(_both(edges), hot).withColumn("m", F.least("a", "m"))
-    return found.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame, hot: int) -> DataFrame:
+    both = _both(edges)
+    if hot:
+        own, least = _with_least(both.filter(F.col("a").isin(hot)))
+        rest, few = _with_least(both.filter(~F.col("a").isin(hot)))
+        joined = own.join(F.broadcast(least), "a").unionByName(rest.join(few, "a"))
+    else:
+        rest, few = _with_least(both)
+        joined = rest.join(few, "a")
+    joined = joined.withColumn("m", F.least("a", "m"))
+    return joined.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked with the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    joined = _with_least(down, hot)
-    return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).distinct()
+    down, least = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    joined = down.join(least, "a")
+    return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -64,8 +66,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now = scratch.save(edges.filter("a <> b").distinct(), f"{name}-0")
     number, before = now.count(), None
     for k in range(1, MOST_ROUNDS + 1):
-        hot = hot_limit(now.sparkSession, number)
-        now = scratch.save(_small_star(_large_star(now, hot), hot), f"{name}-{k}")
+        now = scratch.save(_small_star(_large_star(now, _hot(now, number))), f"{name}-{k}")
         number, checked = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (number, checked) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()

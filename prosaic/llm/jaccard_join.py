@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from prosaic.llm import bytewords
 from prosaic.llm.bytewords import U64, mix
-from prosaic.llm.components import components, hot_limit, join_by_key
+from prosaic.llm.components import components
 from prosaic.llm.scratch import Scratch, bounded_batches, partitions
 
 WORDS = 5
@@ -370,8 +370,7 @@ def _true_links(rows: DataFrame, sets: DataFrame, members: DataFrame, scratch: S
     number = apart.groupBy("root").agg(F.count("*").alias("r"))
     if number.isEmpty():
         return found
-    meeting = join_by_key(large, large.select("root", "m").distinct().join(number, "root").withColumnRenamed("m", "size"), "root", "size", hot_limit(rows.sparkSession, large.count())).drop("size")
-    meeting = scratch.save(meeting.join(apart.select("gid", F.lit(True).alias("late")), "gid", "left"), "meeting")
+    meeting = scratch.save(large.join(number, "root").join(apart.select("gid", F.lit(True).alias("late")), "gid", "left"), "meeting")
     lots = F.ceil(F.col("r") / BLOCK).cast("int")
     lot = F.pmod(F.xxhash64("gid", F.lit(1)), lots).cast("int")
     # numbers below 0 stand for blocks of the sets apart, so that i and j differ
@@ -398,14 +397,13 @@ def _classed(docs: DataFrame, threshold: float, recall: float, id_col: str, text
     found = components(links, scratch, "candidate")
     members = found.select(F.col("node").alias("gid"), "root")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    members = join_by_key(members, sizes, "root", "m", hot_limit(spark, found.count()))
-    members = scratch.save(members.join(groups.select("gid", "id", "d1"), "gid"), "members")
+    members = scratch.save(members.join(sizes, "root").join(groups.select("gid", "id", "d1"), "gid"), "members")
     compared = _true_links(rows, sets, members, scratch, threshold, counted)
     counts = compared.groupBy("gid").agg(F.sum("n").alias("n_links"))
     true = components(compared.filter("gid <> link").select(F.col("gid").alias("a"), F.col("link").alias("b")), scratch, "true")
     classes = true.withColumnRenamed("node", "gid").join(groups.select("gid", "id", "hash"), "gid")
-    least = classes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least"), F.count("*").alias("degree")).select("root", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"), "degree")
-    classed = join_by_key(classes.select("gid", "root"), least, "root", "degree", hot_limit(spark, members.count())).select("gid", "class_id", "class_hash").join(counts, "gid")
+    least = classes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least")).select("root", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"))
+    classed = classes.join(least, "root").select("gid", "class_id", "class_hash").join(counts, "gid")
     final = groups.select("gid", "d1", "d2", "id", "hash", "copies").join(_small(scratch.save(classed, "classed")), "gid", "left")
     final = final.select("d1", "d2", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_hash", "hash").alias("class_hash"), F.coalesce("n_links", F.lit(0)).alias("n_links") if counted else F.lit(0).cast("long").alias("n_links"))
     told = sets.select("id", "hash", "d1", "d2", "size", (F.col("size") > 0).alias("real")).withColumn("real", F.col("real") & F.col("id").isNotNull())

@@ -151,7 +151,7 @@ def test_components_of_hubs_and_paths(spark, monkeypatch):
     from prosaic.llm import components
     from prosaic.llm.scratch import Scratch
 
-    edges = [(0, k) for k in range(1, 900)] + [(k, 5000) for k in range(2000, 2700)] + [(k, k + 1) for k in range(3000, 3060)] + [(899, 2000)]
+    edges = [(0, k) for k in range(1, 1500)] + [(k, 5000) for k in range(2000, 2700)] + [(k, k + 1) for k in range(3000, 3060)] + [(899, 2000)]
     frame = spark.createDataFrame(edges, "a long, b long").repartition(6)
     got = {r.node: r.root for r in components.components(frame, Scratch(spark, "test"), "c").collect()}
     want = {k: 0 for e in edges if not 3000 <= e[0] < 3060 for k in e} | {k: 3000 for k in range(3000, 3061)}
