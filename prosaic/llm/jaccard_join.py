@@ -363,7 +363,8 @@ def _true_links(rows: DataFrame, sets: DataFrame, members: DataFrame, scratch: S
     large = members.filter(F.col("m") > BLOCK)
     if large.isEmpty():
         return found
-    links = found.filter("gid <> link").join(large.select("gid"), "gid", "left_semi").select(F.col("gid").alias("a"), F.col("link").alias("b"))
+    # links of a forest go out from few sets to many: the many ends are joined
+    links = found.filter("gid <> link").join(large.select(F.col("gid").alias("link")), "link", "left_semi").select(F.col("gid").alias("a"), F.col("link").alias("b"))
     near = components(links, scratch, "near").select(F.col("node").alias("gid"), F.col("root").alias("own_root"))
     # sets that blocks and first sets did not connect with the class's first set, which has the smallest number
     apart = scratch.save(large.join(near, "gid", "left").filter("own_root is null or own_root <> root").select("gid", "root"), "apart")
