@@ -70,10 +70,10 @@ READ_REPLIES = [
     (11, *['{"plain": true}'] * 4),
 ]
 
-#: What is read from SCRIPTS: id, place, speaker, text.
+#: What is read from SCRIPTS: id, place (-1: nothing), speaker, text.
 READ_SCRIPTS = [
     (1, 0, "NARRATOR", "It rained."), (1, 1, "ANNA", "Come in."), (2, 0, "ANNA", "Trailing"), (2, 1, "BEN", "comma"),
-    (3, 0, "BEN", 'Loose "one"'), (3, 1, "ANNA", "two\nlines"), (4, None, None, None), (5, 0, "ANNA", "One {brace}, two,]"),
+    (3, 0, "BEN", 'Loose "one"'), (3, 1, "ANNA", "two\nlines"), (4, -1, None, None), (5, 0, "ANNA", "One {brace}, two,]"),
 ]
 
 OUTPUTS = [

@@ -115,8 +115,9 @@ def q_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of loosely written scripts; place -1 for a reply without any."""
     rows = local(spark, probes.SCRIPTS, "id int, raw string")
-    return comparable(rows.select("id", F.posexplode_outer(extract.reply_segments(F.col("raw"))).alias("place", "s")).select("id", "place", "s.speaker", "s.text"))
+    return comparable(rows.select("id", F.posexplode_outer(extract.reply_segments(F.col("raw"))).alias("place", "s")).select("id", F.coalesce("place", F.lit(-1)).alias("place"), "s.speaker", "s.text"))
 
 
 def q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
