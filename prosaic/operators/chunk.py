@@ -8,7 +8,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The limit of a call, the voices fallen back on, and the placeholder of a voice not chosen yet.
@@ -81,6 +81,11 @@ def chunk_segments(segments: DataFrame, key: str, order: str, text_col: str = "t
     return rows.groupBy("key").applyInPandas(run, f"key {kind}, chunk int, place int, text string, voice_id string").withColumnRenamed("key", key)
 
 
+def first_segments(segments: Column, n: int = 10) -> Column:
+    """The first n segments of a script's array: what a test run speaks."""
+    return F.slice(segments, 1, n)
+
+
 def script_totals(scripts: DataFrame, key: str, segments: str = "segments") -> DataFrame:
     """key, total_segments, speakers (sorted), total_chars of scripts with array<struct<speaker, text>>."""
     s = F.col(segments)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Thresholds and limits of the phases, and the state a run starts with.
 FOUNDATION_PASS, FOUNDATION_STEPS = 7.5, 20
 CHAPTER_PASS, CHAPTER_ATTEMPTS, CHAPTER_BYTES = 6.0, 5, 100
-LEAST_CYCLES, PLATEAU = 3, 0.3
+LEAST_CYCLES, MOST_CYCLES, PLATEAU = 3, 6, 0.3
 REVIEW_ROUNDS = 4
 PHASES = ["foundation", "drafting", "revision", "export"]
 DEFAULT_STATE = {
@@ -75,6 +75,29 @@ def plateau(history: DataFrame, key: str = "run", step: str = "cycle", score: st
     return out.withColumn("ran", F.coalesce(F.max(F.col("stop").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0)
 
 
+def revision_log(cycles: DataFrame, revisions: DataFrame, run: str = "run", start: Column | float = 0.0, most: int = MOST_CYCLES) -> DataFrame:
+    """run, cycle, item, phase, score, word_count, status, description: what runs of revision cycles log.
+
+    cycles: run, cycle, novel_score, overall_score, words. A novel score that is
+    missing or below zero wasn't read; the overall score stands in. A run ends with
+    the first cycle that reaches the plateau, or with the last one allowed.
+    revisions: run, cycle, item (place in its cycle), chapter, question, pre, post,
+    words; they are kept or discarded, and only those of cycles that ran count. A
+    cycle's own row has no item.
+    """
+    begin = start if isinstance(start, Column) else F.lit(start)
+    read = F.when(F.coalesce("novel_score", F.lit(-1.0)) < 0, F.col("overall_score")).otherwise(F.col("novel_score"))
+    scored = plateau(cycles.filter(F.col("cycle") <= most).withColumn("score", read), run, "cycle", "score", begin)
+    ran = scored.withColumn("_before", F.coalesce(F.lag("score").over(_order(run, "cycle")), begin)).filter("ran")
+    about = lambda what, *parts: F.concat(F.lit("Cycle "), F.col("cycle").cast("string"), F.lit(": "), what, *parts)
+    moved = lambda a, b: (F.col(a).cast("string"), F.lit("->"), F.col(b).cast("string"))
+    whole = ran.select(run, "cycle", F.lit(None).cast("int").alias("item"), F.format_string("revision-cycle-%d", "cycle").alias("phase"), "score", F.col("words").alias("word_count"), F.lit("cycle").alias("status"), about(F.lit("novel_score "), *moved("_before", "score")).alias("description"))
+    judged = acceptance(revisions.join(ran.select(run, "cycle"), [run, "cycle"], "left_semi"))
+    verb = F.when(F.col("accepted"), " improved ").otherwise(" regressed ")
+    each = judged.select(run, "cycle", "item", F.format_string("rev-ch%02d", "chapter").alias("phase"), F.col("post").alias("score"), F.col("words").alias("word_count"), F.when(F.col("accepted"), "keep").otherwise("discard").alias("status"), about(F.col("question"), verb, *moved("pre", "post")).alias("description"))
+    return whole.unionByName(each)
+
+
 def review_rounds(reviews: DataFrame, key: str = "run", step: str = "round", most: int = REVIEW_ROUNDS) -> DataFrame:
     """Parsed reviews (stars, total_items, major_items, qualified_items) with decision and ran; without the few-items rule."""
     from prosaic.operators.extract import should_stop
@@ -100,8 +123,8 @@ def with_defaults(state: DataFrame) -> DataFrame:
             out = out.withColumn(name, F.lit(value))
         elif name != "current_focus":
             out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-    if "debts" not in out.columns:
-        out = out.withColumn("debts", F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    out = out.withColumn("debts", F.coalesce("debts", none) if "debts" in out.columns else none)
     return out.select(*DEFAULT_STATE, "debts")
 
 

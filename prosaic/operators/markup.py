@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosaic.functions import text as t
+from prosaic.operators import feedback
 
 
 def latex_escape(text: Column) -> Column:
@@ -88,3 +89,41 @@ def ledger_line(thread: Column, planted: Column, harvested: Column) -> Column:
     """One row of a ledger table, as Markdown."""
     told = lambda c: F.array_join(F.transform(c, lambda n: F.concat(F.lit("Ch "), n)), ", ")
     return F.concat(F.lit("| "), thread, F.lit(" | "), told(planted), F.lit(" | "), told(harvested), F.lit(" |"))
+
+
+def arc_summary(blocks: DataFrame, title: Column, premise: Column, keys: list[str] | None = None) -> DataFrame:
+    """chapters, words, text: blocks (n, words, block) in order behind a heading and the premise, with rules between. Keys make several documents.
+
+    title and premise are made of the keys. A document is one value.
+    """
+    grouped = blocks.groupBy(*(keys or [])).agg(F.count("*").alias("chapters"), F.coalesce(F.sum(F.col("words").cast("bigint")), F.lit(0)).alias("words"), F.array_sort(F.collect_list(F.struct("n", "words", "block"))).alias("_all"))
+    head = F.concat(
+        F.lit("# "), title, F.lit("\n## Full-Arc Summary for Reader Panel\n\nThis document contains chapter summaries, opening/closing passages,\nand key dialogue for all "), F.col("chapters").cast("string"),
+        F.lit(" chapters. Total novel: "), F.format_number("words", 0), F.lit(" words.\n\nPREMISE: "), premise, F.lit("\n\n---\n\n"),
+    )
+    return grouped.select(*(keys or []), "chapters", "words", F.concat(head, F.array_join(F.transform("_all", lambda x: x["block"]), "\n---\n\n")).alias("text"))
+
+
+def outline_block() -> Column:
+    """One entry of an outline, as Markdown; what it lacks is N/A, lists that are empty or null are left out."""
+    told = lambda c: F.coalesce(F.col(c), F.lit("N/A"))
+    listed = lambda c, mark: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x, F.lit("\n"))), "")
+    titled = lambda c, name: F.when(F.size(c) > 0, F.concat(F.lit(f"**{name}:**\n"), listed(c, "- "), F.lit("\n"))).otherwise("")
+    return F.concat(
+        F.lit("### Ch "), F.col("num").cast("string"), F.lit(": "), told("title"), F.lit("\n**"), F.coalesce("words", F.lit(0)).cast("string"), F.lit(" words** | **Location:** "), told("location"),
+        F.lit("\n- **Characters:** "), F.coalesce(F.array_join("characters", ", "), F.lit("")), F.lit("\n- **Try-fail cycle:** "), told("try_fail"), F.lit("\n- **Emotional arc:** "), told("emotional_arc"),
+        F.lit("\n\n**Summary:** "), told("summary"), F.lit("\n\n**Beats:**\n"), listed("beats", "1. "), F.lit("\n"), titled("plants", "Plants"), titled("harvests", "Harvests"),
+        F.lit("**Chapter question:** "), told("chapter_question"), F.lit("\n\n---\n\n"),
+    )
+
+
+def outline_document(entries: DataFrame, title: Column, cycle: Column) -> DataFrame:
+    """One row: an outline's entries (num, title, words, location, characters, try_fail, emotional_arc, summary, beats, plants, harvests, chapter_question) by number, and the ledger of their threads by name."""
+    blocks = entries.select("num", F.coalesce("words", F.lit(0)).cast("bigint").alias("words"), outline_block().alias("block"))
+    body = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "block"))), lambda x: x["block"]), "").alias("body"))
+    lines = feedback.ledger(entries).select("thread", F.concat(ledger_line(F.col("thread"), F.col("planted"), F.col("harvested")), F.lit("\n")).alias("line"))
+    table = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("thread", "line"))), lambda x: x["line"]), "").alias("ledger"))
+    return body.crossJoin(table).select(F.concat(
+        F.lit("# "), title, F.lit("\n## Chapter Outline (reflects actual novel as-written)\n\n**"), F.col("n").cast("string"), F.lit(" chapters, "), F.format_number("words", 0), F.lit(" words**\n\n---\n\n"), F.col("body"),
+        F.lit("## FORESHADOWING LEDGER\n\n| Thread | Planted | Harvested |\n|--------|---------|-----------|\n"), F.col("ledger"), F.lit("\n---\n\n*Outline rebuilt from actual chapters, Cycle "), cycle.cast("string"), F.lit(".*"),
+    ).alias("text"))

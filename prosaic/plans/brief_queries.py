@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from prosaic.plans import probes
 from prosaic.plans.corpus import comparable, local, table, values
 from prosaic.plans.feedback_queries import SPLIT_SQL, panel
 from prosaic.sources import files
-from prosaic.sources.tables import shared_folder
+from prosaic.sources.tables import new_folder
 
 _CHAPTERS = [
     (5, "# Chapter 5: The Market\n\n" + "word " * 100, "The bell, once.", ["One good line.", "Another."]),
@@ -79,13 +77,9 @@ def q_rendered_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(brief.render(brief.panel_brief(x["chapters"], x["panel"])))
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-
-
 def q_experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log appended to twice and read again."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "files")
     rows = local(spark, [(f"c{c}", "ch", "?" if s is None else repr(s), n, "keep", f"attempt {c}") for c, (_, _, _, _, s, n) in enumerate(probes.ATTEMPTS)], "commit string, phase string, score string, word_count int, status string, description string")
     files.append_experiments(rows.filter("word_count < 1400"), folder)
     files.append_experiments(rows.filter("word_count >= 1400"), folder)
@@ -94,7 +88,7 @@ def q_experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON logs and read again, whole."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "files")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
     files.write_json(docs, folder)
     read = spark.read.schema("doc_id long, text string, lang string").json(folder)

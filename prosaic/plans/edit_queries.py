@@ -18,7 +18,7 @@ def _probe_cuts(spark: SparkSession) -> DataFrame:
     return local(spark, probes.CUTS, f"doc_id long, overall_fat_percentage int, cuts {_CUT}")
 
 
-def _cuts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def cut_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Texts, and cuts: of each document its second and last sentence, its first 30 characters, and a quote it hasn't."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     s = F.filter(F.split("text", "[.\n]"), lambda x: F.length(x) > 0)
@@ -32,35 +32,35 @@ def _cuts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def q_apply_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts applied in order: each sees what earlier ones left."""
-    texts, cuts = _cuts(spark, sf_dir)
+    texts, cuts = cut_inputs(spark, sf_dir)
     done = edit.apply_cuts(texts, cuts, least_fat=10)
-    return comparable(done.select("doc_id", "applied", "failed", "skipped", "words_removed", "error", F.coalesce(F.length("new_text"), F.lit(-1)).alias("new_length"), F.array_join("reasons", "|").alias("reasons")))
+    return comparable(done.select("doc_id", "applied", "failed", "skipped", "words_removed", "error", "new_text", F.array_join("reasons", "|").alias("reasons")))
 
 
 def q_apply_first_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the first cut of each document: located exactly, ambiguous or absent."""
-    texts, cuts = _cuts(spark, sf_dir)
+    texts, cuts = cut_inputs(spark, sf_dir)
     first = cuts.filter("doc_id >= 0").withColumn("cuts", F.slice("cuts", 1, 1)).withColumn("overall_fat_percentage", F.lit(50))
     done = edit.apply_cuts(texts, first)
     return comparable(done.select("doc_id", "applied", "failed", "skipped", F.coalesce(F.length("new_text"), F.lit(-1)).alias("new_length")))
 
 
 def q_cuts_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, cuts = _cuts(spark, sf_dir)
+    texts, cuts = cut_inputs(spark, sf_dir)
     return comparable(edit.apply_cuts(texts, cuts, types=["FAT", "TELL", "REDUNDANT"], least_fat=10, dry_run=True))
 
 
 def q_cut_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, cuts = _cuts(spark, sf_dir)
+    texts, cuts = cut_inputs(spark, sf_dir)
     return comparable(edit.totals(edit.apply_cuts(texts, cuts, types=["FAT", "TELL", "REDUNDANT"], least_fat=10, dry_run=True)))
 
 
 def q_cut_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(edit.type_counts(_cuts(spark, sf_dir)[1]))
+    return comparable(edit.type_counts(cut_inputs(spark, sf_dir)[1]))
 
 
 def q_dominant_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(edit.dominant_type(_cuts(spark, sf_dir)[1]))
+    return comparable(edit.dominant_type(cut_inputs(spark, sf_dir)[1]))
 
 
 def _players(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,7 @@ f AS (SELECT doc_id, 0::BIGINT AS k, text, 0 AS applied, 0 AS failed, 0::BIGINT
       FROM f JOIN c ON c.doc_id = f.doc_id AND c.k = f.k + 1) y) x),
 l AS (SELECT doc_id, arg_max(text, k) AS text, max(applied) AS applied, max(failed) AS failed, max(words) AS words, arg_max(reasons, k) AS reasons FROM f GROUP BY 1)
 SELECT b.doc_id, coalesce(applied, 0)::BIGINT AS applied, coalesce(failed, 0)::BIGINT AS failed, (CASE WHEN fat < 10 THEN n WHEN error IS NULL THEN n - ok ELSE 0 END)::BIGINT AS skipped, coalesce(words, 0)::BIGINT AS words_removed, error,
-  CASE WHEN applied > 0 THEN length(regexp_replace(l.text, '\n{{3,}}', chr(10) || chr(10), 'g')) ELSE -1 END AS new_length, coalesce(reasons, '') AS reasons
+  CASE WHEN applied > 0 THEN regexp_replace(l.text, '\n{{3,}}', chr(10) || chr(10), 'g') END AS new_text, coalesce(reasons, '') AS reasons
 FROM b LEFT JOIN l ON l.doc_id = b.doc_id
 """
 CUT_TYPES_SQL = f"WITH {_ALL_CUTS} SELECT doc_id, type, count(*) AS n, min(place)::BIGINT AS first_place FROM cuts GROUP BY 1, 2"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosaic.plans import brief_queries, edit_queries, feedback_queries, score_queries, text_queries
+from prosaic.plans import brief_queries, edit_queries, feedback_queries, file_queries, score_queries, text_queries
 
-_ALL = {**score_queries.QUERIES, **text_queries.QUERIES, **feedback_queries.QUERIES, **edit_queries.QUERIES, **brief_queries.QUERIES}
+_ALL = {**score_queries.QUERIES, **text_queries.QUERIES, **feedback_queries.QUERIES, **edit_queries.QUERIES, **brief_queries.QUERIES, **file_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

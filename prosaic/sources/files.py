@@ -18,12 +18,19 @@ EXPERIMENTS = ["commit", "phase", "score", "word_count", "status", "description"
 CUT = "struct<quote:string,type:string,reason:string,action:string,rewrite:string>"
 CUTS = f"cuts array<{CUT}>, total_cuttable_words int, tightest_passage string, loosest_passage string, overall_fat_percentage int, one_sentence_verdict string"
 DIM = "struct<score:string,weakest_moment:string,fix:string,gap:string,note:string>"
-PANEL = "readers map<string,map<string,string>>, timestamp string"
+PANEL = "readers map<string,map<string,variant>>, timestamp string"
 SCRIPT = "chapter int, title string, segments array<struct<speaker:string,text:string>>, total_segments int, speakers array<string>, total_chars int"
 VOICES = "map<string,struct<voice_id:string,description:string,why:string>>"
 STATE = "phase string, current_focus string, iteration int, foundation_score double, lore_score double, chapters_drafted int, chapters_total int, novel_score double, revision_cycle int, debts array<string>"
 
 
+def _files(spark: SparkSession, pattern: str) -> list[tuple[str, str, int, int]]:
+    """(path, name, time of writing, length) of what matches; a project's folder has a bounded number of files."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return [(f.getPath().toString(), f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in found or []]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a path, or anything that a pattern matches, is there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -31,11 +38,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def write_file(spark: SparkSession, path: str, text: str, modified: int | None = None) -> None:
+    """Writes one small file under its own name, which Spark's writers can't; modified is its time in seconds, if not now."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if modified is not None:
+        system.setTimes(target, modified * 1000, -1)
+
+
+def newest(spark: SparkSession, pattern: str) -> DataFrame:
+    """file_name, text of the file written last, the last name of those of one time; no row if nothing matches."""
+    last = max(((modified, path) for path, _, modified, _ in _files(spark, pattern)), default=None)
+    return texts(spark, last[1] if last else pattern)
+
+
+def audio_files(spark: SparkSession, folder: str) -> DataFrame:
+    """file_name, length of the chapters' audio in order of names; test runs' files are left out."""
+    found = spark.createDataFrame([(name, length) for _, name, _, length in _files(spark, f"{folder}/ch_*.mp3")], "file_name string, length long")
+    return found.filter(~F.contains("file_name", F.lit("_test"))).orderBy("file_name")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """file_name, text: whole files; no rows if nothing matches."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "file_name string, text string")
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    found = _files(spark, path)
+    # Spark's readers leave out files without a byte
+    blank = spark.createDataFrame([(name, "") for _, name, _, length in found if length == 0], "file_name string, text string")
+    if all(length == 0 for *_, length in found):
+        return blank
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")).union(blank)
 
 
 def load_file(spark: SparkSession, path: str) -> DataFrame:
@@ -82,9 +115,10 @@ def cut_chapters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, path: str) -> DataFrame:
-    """reader, question, answer: a panel's map of maps as rows."""
+    """reader, question, answer: a panel's map of maps as rows; answers that aren't strings are left out."""
     readers = json_logs(spark, path, PANEL).select(F.explode("readers").alias("reader", "answers"))
-    return readers.select("reader", F.explode("answers").alias("question", "answer"))
+    rows = readers.select("reader", F.explode("answers").alias("question", "answer"))
+    return rows.filter(F.schema_of_variant("answer") == "STRING").select("reader", "question", F.variant_get("answer", "$", "string").alias("answer"))
 
 
 def evaluations(spark: SparkSession, path: str, dims: list[str]) -> DataFrame:

@@ -24,9 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which `release` deletes too."""
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
