@@ -25,7 +25,7 @@ def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fingerprint_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = score.fingerprint(prose(spark, sf_dir), separator=F.col("sep"))
-    return comparable(score.corpus_average(counts).select("word_count", "sentence_count", "paragraph_count", "min_sentence", "max_sentence", "section_breaks", "the_way_count"))
+    return comparable(score.corpus_average(counts).select(*[F.round(m, 6).alias(m) for m in score.METRICS]))
 
 
 def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_outliers_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = score.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), separator="\n")
-    return comparable(score.outliers(prints, "doc_id", partition=["lang"]).filter("metric in ('word_count', 'well_body_pct')").withColumn("z", F.round("z", 6)))
+    return comparable(score.outliers(prints, "doc_id", partition=["lang"]).withColumn("z", F.round("z", 6)))
 
 
 def q_starters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ prints AS (SELECT {keep}, word_count, ns AS sentence_count, np AS paragraph_coun
 
 _ROUNDED = ", ".join(m if m in ("word_count", "sentence_count", "paragraph_count", "min_sentence", "max_sentence", "section_breaks", "the_way_count") else f"round({m}, 9) AS {m}" for m in score.METRICS)
 FINGERPRINT_SQL = f"WITH {_prints(PROSE_SQL)} SELECT doc_id, {_ROUNDED} FROM prints"
-AVERAGE_SQL = f"WITH {_prints(PROSE_SQL)} SELECT {', '.join(f'round(avg({m}), 9) AS {m}' for m in ('word_count', 'sentence_count', 'paragraph_count', 'min_sentence', 'max_sentence', 'section_breaks', 'the_way_count'))} FROM prints"
+AVERAGE_SQL = f"WITH {_prints(PROSE_SQL)} SELECT {', '.join(f'round(avg(round({m}::DOUBLE, {score.PLACES[m]})), 6) AS {m}' for m in score.METRICS)} FROM prints"
 
 
 def _outliers(keys: str = "") -> str:
@@ -181,7 +181,7 @@ FROM u WHERE n > 2 AND std > 0 AND abs((value - mean) / std) > 1.5{only}"""
 
 
 OUTLIERS_SQL = _outlier_sql(PROSE_SQL, "doc_id", "")
-BY_LANG_SQL = _outlier_sql("corpus AS (SELECT doc_id, lang, coalesce(text, '') AS text, chr(10) AS sep FROM documents)", "doc_id, lang", "lang", " AND metric IN ('word_count', 'well_body_pct')")
+BY_LANG_SQL = _outlier_sql("corpus AS (SELECT doc_id, lang, coalesce(text, '') AS text, chr(10) AS sep FROM documents)", "doc_id, lang", "lang")
 
 STARTERS_SQL = f"""
 WITH {PROSE_SQL}, s AS (SELECT unnest(string_split_regex(text, '[.!?]+')) AS s FROM corpus)
