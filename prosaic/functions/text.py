@@ -41,6 +41,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(NOT_WS))
 
 
+def has_space(word: str) -> bool:
+    return any(c in _SPACES for c in word)
+
+
 def trim_marks(token: Column, marks: str = MARKS) -> Column:
     return F.btrim(token, F.lit(marks))
 

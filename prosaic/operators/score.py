@@ -174,12 +174,12 @@ def outliers(prints: DataFrame, id_col: str, limit: float = 1.5, partition: list
 
     A metric needs more than two documents and some spread. The metrics are saved,
     so that texts are read once; statistics are one aggregate row (per partition,
-    if columns are given) joined back, so documents are not gathered.
+    if columns are given; the planner sizes that join) joined back, so documents are not gathered.
     """
     keys = partition or []
     prints = saved(prints.select(id_col, *keys, *METRICS), "fingerprints")
     stats = prints.groupBy(*keys).agg(*[f(F.col(m).cast("double")).alias(f"{n}_{m}") for m in METRICS for n, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))])
-    joined = prints.join(F.broadcast(stats), keys) if keys else prints.crossJoin(F.broadcast(stats))  # one row
+    joined = prints.join(stats, keys) if keys else prints.crossJoin(F.broadcast(stats))  # one row
     rows = joined.select(id_col, *keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.col(f"n_{m}").alias("n"), F.col(f"mean_{m}").alias("mean"), F.col(f"std_{m}").alias("std")) for m in METRICS])))
     z = (F.col("value") - F.col("mean")) / F.col("std")
     rows = rows.filter((F.col("n") > 2) & (F.col("std") > 0)).withColumn("z", z).filter(F.abs("z") > limit)
@@ -198,12 +198,20 @@ def frequent_terms(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame
     return docs.select(token.alias("token")).select(t.trim_marks(F.col("token")).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
 
 
-def lexicon_counts(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "text", terms: int = 100_000) -> DataFrame:
+def lexicon_counts(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "text", terms: int = 100_000, in_pattern: int = 1_000) -> DataFrame:
     """id, term, n: how often each document has each term of a lexicon (column term).
 
-    The lexicon is broadcast up to `terms` rows and joined by shuffling beyond.
+    Terms are read once. Up to `in_pattern` of them make one pattern, so that only
+    hits leave the text; longer lexicons are broadcast up to `terms` rows and joined
+    by shuffling beyond. Null terms, and those no trimmed token can equal, count nothing.
     """
-    words = docs.select(id_col, F.explode(t.tokens(F.lower(t.blank_if_null(F.col(text_col))))).alias("token")).select(id_col, t.trim_marks(F.col("token")).alias("term"))
-    own = lexicon.select("term").distinct()
-    small = own.limit(terms + 1).count() <= terms
-    return words.join(F.broadcast(own) if small else own, "term").groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    text = t.blank_if_null(F.col(text_col))
+    own = lexicon.select("term").filter(F.col("term").isNotNull()).distinct()
+    few = [row["term"] for row in own.limit(in_pattern + 1).collect()]
+    if len(few) <= in_pattern and "" not in few:
+        words = [w for w in few if w == w.strip(t.MARKS) and not t.has_space(w)]
+        hits = docs.select(id_col, F.explode(t.lexicon_hits(text, words)).alias("term")) if words else docs.select(id_col, F.lit("").alias("term")).limit(0)
+        return hits.groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    tokens = docs.select(id_col, F.explode(t.tokens(F.lower(text))).alias("token")).select(id_col, t.trim_marks(F.col("token")).alias("term"))
+    small = len(few) <= in_pattern or own.limit(terms + 1).count() <= terms
+    return tokens.join(F.broadcast(own) if small else own, "term").groupBy(id_col, "term").agg(F.count("*").alias("n"))

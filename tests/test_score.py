@@ -110,3 +110,16 @@ def test_scores_of_a_stream(spark, tmp_path):
     score_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.doc_id: r.tier1 for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: 1, 1: 0}
+
+
+def test_lexicon_counts_agree_by_pattern_and_by_join(spark):
+    from prosaic.plans.corpus import PROSE
+
+    docs = rows(spark, *[text for _, text in PROSE], None, "", "It's (it's) its-own AND and; 'and' x_y +1 ... a\u00a0b 😀 ß É")
+    terms = ["and", "it's", "the", "a", "b", "x_y", "+1", "😀", "ß", "é", "É", "'and'", "it is", "its", "its-own", "felt", None, "and"]
+    lexicon = spark.createDataFrame([(x,) for x in terms], "term string")
+    got = [sorted(map(tuple, score.lexicon_counts(docs, lexicon, "doc_id", in_pattern=n).collect())) for n in (1000, 0)]
+    assert got[0] == got[1] and ("and", 3) in [(term, n) for _, term, n in got[0]]
+    assert score.lexicon_counts(docs, lexicon.limit(0), "doc_id").count() == 0
+    blank = spark.createDataFrame([("",), ("and",)], "term string")
+    assert score.lexicon_counts(docs, blank, "doc_id").filter("term = ''").count() > 0
