@@ -25,12 +25,12 @@ def usable_voices(voices: DataFrame) -> DataFrame:
 def with_voices(segments: DataFrame, voices: DataFrame, first: str = "seq") -> DataFrame:
     """segments (speaker, ...) with voice_id: the speaker's, else the minor one, else the narrator's, else the first one's; null only without voices.
 
-    voices: speaker, voice_id and an order column. A list of voices is small; it is
-    joined by broadcast.
+    voices: speaker, voice_id and an order column. The planner sizes the join; what
+    is fallen back on is one row.
     """
     own = usable_voices(voices)
     others = own.agg(*[F.max(F.when(F.col("speaker") == s, F.col("voice_id"))).alias(f"_{s}") for s in FALLBACK], F.min_by("voice_id", first).alias("_first"))
-    joined = segments.join(F.broadcast(own.select("speaker", F.col("voice_id").alias("_own"))), "speaker", "left").crossJoin(F.broadcast(others))
+    joined = segments.join(own.select("speaker", F.col("voice_id").alias("_own")), "speaker", "left").crossJoin(F.broadcast(others))
     return joined.withColumn("voice_id", F.coalesce("_own", *[f"_{s}" for s in FALLBACK], "_first")).select(*segments.columns, "voice_id")
 
 

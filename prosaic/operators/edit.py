@@ -83,7 +83,7 @@ def apply_cuts(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_co
             yield pd.DataFrame(out, columns=["id", "applied", "failed", "skipped", "words_removed", "error", "new_text", "reasons"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    ready = joined.select("id", "n", "error", "text", F.transform("ok", lambda c: F.struct(*[c[k].alias(k) for k in ("quote", "type", "action", "rewrite")])).alias("ok"))
+    ready = joined.select("id", "n", "error", F.when(F.col("error").isNull() & (F.size("ok") > 0), F.col("text")).alias("text"), F.transform("ok", lambda c: F.struct(*[c[k].alias(k) for k in ("quote", "type", "action", "rewrite")])).alias("ok"))
     return ready.mapInPandas(fold, f"id {kind}, applied int, failed int, skipped int, words_removed int, error string, new_text string, reasons array<string>").withColumnRenamed("id", id_col)
 
 
